@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,3 +71,23 @@ def same_columns(docs: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch])
                 yield f(b)
 
     return docs.mapInArrow(run, docs.schema)
+
+
+def by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches, sorted by key, cut so that no key is in two of them."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        key = np.asarray(b["key"])
+        cut = int(np.searchsorted(key, key[-1]))
+        if cut:
+            held.append(b.slice(0, cut))
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held = []
+        elif held and held[-1]["key"][0] != b["key"][0]:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held = []
+        held.append(b.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]

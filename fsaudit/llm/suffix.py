@@ -34,7 +34,7 @@ from fsaudit.llm import _frames, _text
 from fsaudit.llm.decontam import replace_texts
 
 WINDOW, GRAM = 50, 25
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 250_000
 REPORT = "doc_id long, n_words long, n_removed long, first_doc_ids array<long>, starts array<int>, ends array<int>"
 _Q1, _Q2 = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD1342543DE82EF95)
 
@@ -133,29 +133,9 @@ def _anchors(window: int, gram: int):
     return run
 
 
-def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches, sorted by key, cut so that no key is in two of them."""
-    held: list[pa.RecordBatch] = []
-    for b in batches:
-        if not b.num_rows:
-            continue
-        key = np.asarray(b["key"])
-        cut = int(np.searchsorted(key, key[-1]))
-        if cut:
-            held.append(b.slice(0, cut))
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            held = []
-        elif held and held[-1]["key"][0] != b["key"][0]:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            held = []
-        held.append(b.slice(cut))
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
-
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Spans that repeat a folded stretch, and requests for the texts of stretches to be sorted; sorted by key and order of occurrence."""
-    for b in _by_key(batches):
+    for b in _frames.by_key(batches):
         col = {c: np.asarray(b[c]) for c in b.schema.names}
         key = col["key"]
         edge = np.flatnonzero(np.diff(key, prepend=key[0] - 1))
@@ -238,7 +218,7 @@ class Sorter:
 
 def _sort(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _by_key(batches):
+        for b in _frames.by_key(batches):
             key, rid, doc, first = (np.asarray(b[c]) for c in ("key", "rid", "doc_id", "s"))
             data, offsets = _text.buffers(b["text"])
             w = _text.Words(data, offsets, "SPACE")
@@ -271,7 +251,7 @@ def _sort(window: int):
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Spans of each rid, sorted by (rid, s), joined where they meet."""
-    for b in _by_key(x.rename_columns(["key", *x.schema.names[1:]]) for x in batches):
+    for b in _frames.by_key(x.rename_columns(["key", *x.schema.names[1:]]) for x in batches):
         rid, s, e, ref = (np.asarray(b[c]) for c in ("key", "s", "e", "ref"))
         group = np.cumsum(np.diff(rid, prepend=rid[0]) != 0)
         far = np.maximum.accumulate(e + group * 2.0**32)  # ends so far, inside the rid
