@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 #: The power of an offset in a word is taken modulo this, so that one endless word needs no endless table.
 _POWERS = 1 << 12
 

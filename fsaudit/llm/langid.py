@@ -128,7 +128,7 @@ class Model:
         """Bits per symbol by text and language, and letters by text."""
         data, offsets = _text.buffers(_text.lower(texts))
         out, letters = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts), np.int64)
-        for i, j in _text.blocks(offsets, 8 << 20):
+        for i, j in _text.blocks(offsets, 4 << 20):
             x, start, letters[i:j] = normalised(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], self.lut)
             size = np.diff(start)
             parts = -(-size // SEGMENT)
