@@ -142,7 +142,7 @@ def ranges(offset: np.ndarray, length: np.ndarray, gap: int = GAP, most: int = R
         i = j
 
 
-def read(selected: DataFrame) -> DataFrame:
+def read(selected: DataFrame, task: int = TASK) -> DataFrame:
     """The records of selected index rows."""
     _frames.bounded_batches(selected.sparkSession)
 
@@ -164,8 +164,10 @@ def read(selected: DataFrame) -> DataFrame:
                         yield pa.RecordBatch.from_pylist(rows, _RECORDS)
 
     own = selected.filter("NOT error").groupBy("file", "offset", "length").agg(F.count("*").alias("n"))
-    own = own.groupBy("file", F.expr(f"offset div {TASK}").alias("stretch")).agg(F.sort_array(F.collect_list(F.struct("offset", "length", "n"))).alias("at"))
-    return own.repartition("file", "stretch").mapInArrow(run, RECORDS)
+    own = own.groupBy("file", F.expr(f"offset div {task}").alias("stretch")).agg(F.sort_array(F.collect_list(F.struct("offset", "length", "n"))).alias("at"))
+    own = _frames.cut(own)
+    # One task per stretch: its rows are few, but stand for up to TASK bytes to read.
+    return own.repartitionByRange(max(1, own.count()), "file", "stretch").mapInArrow(run, RECORDS)
 
 
 def first_of_digest(entries: DataFrame) -> DataFrame:
