@@ -107,4 +107,5 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard_docs: int = SHARD_DOCS
     own = _words(docs) if length is None else docs.select(F.col("doc_id").cast("long").alias("doc_id"), length.cast("long").alias("n"))
     own = own.filter("n > 0").withColumn("order", F.xxhash64("doc_id")).withColumn("doc_id", F.coalesce("doc_id", F.lit(NULL)))
     own = own.withColumn("shard", F.pmod(F.col("order"), F.lit(shards)).cast("int"))
-    return own.groupBy("shard").applyInPandas(lambda pdf: pack_shard(pdf, capacity), SCHEMA)
+    # A count of one's own keeps AQE from joining shards: they are a few bytes a document, but much work.
+    return own.repartition(shards, "shard").groupBy("shard").applyInPandas(lambda pdf: pack_shard(pdf, capacity), SCHEMA)
