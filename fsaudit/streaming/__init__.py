@@ -1,0 +1 @@
+"""Empty on purpose: the data model has no streams, watermarks or state to offer."""
