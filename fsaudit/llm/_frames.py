@@ -23,6 +23,14 @@ def rid(*cols: str) -> Column:
     return F.xxhash64(*[F.col(c) for c in cols])
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, that all executors see; one is set where none is, as in tests."""
     sc = spark.sparkContext

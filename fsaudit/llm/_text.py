@@ -29,7 +29,10 @@ _SPACE = np.ones(256, bool)
 _SPACE[[9, 10, 12, 13, 32]] = False
 _ALNUM = np.zeros(256, bool)
 _ALNUM[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
-CLASSES = {"SPACE": _SPACE, "ALNUM": _ALNUM}
+#: For texts as they were before they were lower-cased; lower-casing changes no character's class, so words keep their numbers.
+_CASED = _ALNUM.copy()
+_CASED[65:91] = True
+CLASSES = {"SPACE": _SPACE, "ALNUM": _ALNUM, "CASED": _CASED}
 
 
 def mix(x: np.ndarray) -> np.ndarray:

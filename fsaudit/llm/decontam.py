@@ -86,7 +86,7 @@ def _judge(hits: list[tuple[int, int, set]], words: int, drop_share: float) -> t
 def _without(text: str, covered: np.ndarray) -> str:
     """The text without its covered words, each with the separators up to the next word."""
     data, offsets = _text.buffers(pa.array([text], pa.string()))
-    w = _text.Words(data, offsets, "ALNUM")
+    w = _text.Words(data, offsets, "CASED")
     keep = np.ones(len(data), bool)
     edge = np.flatnonzero(np.diff(np.concatenate([[0], covered.astype(np.int8), [0]])))
     for a, b in zip(edge[::2], edge[1::2]):
@@ -217,10 +217,11 @@ def clean(docs: DataFrame, bench: DataFrame, n: int = N, min_words: int = MIN_WO
                         out[d, t] = None if drop else _without(t, covered)
                 yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in out], pa.int64()), pa.array([k[1] for k in out], pa.string()), pa.array(list(out.values()), pa.string())], names=["d", "t", "cleaned"])
 
-        done = hits.mapInArrow(decide, "d long, t string, cleaned string").select(F.xxhash64("d", "t").alias("__rid"), F.col("cleaned").alias("__cleaned"), F.lit(True).alias("__hit")).dropDuplicates(["__rid"])
-        out = docs.withColumn("__rid", F.xxhash64(F.col("doc_id").cast("long"), "text")).join(done, "__rid", "left").filter("__hit IS NULL OR __cleaned IS NOT NULL")
-        new = F.when(F.col("__hit"), F.col("__cleaned")).otherwise(F.col("text"))
-        changed = {"text": new} | ({"n_chars": F.when(F.col("__hit"), F.length(new)).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})
+        rid, cleaned, hit = (_frames.fresh(docs, x) for x in ("__rid", "__cleaned", "__hit"))
+        done = hits.mapInArrow(decide, "d long, t string, cleaned string").select(F.xxhash64("d", "t").alias(rid), F.col("cleaned").alias(cleaned), F.lit(True).alias(hit)).dropDuplicates([rid])
+        out = docs.withColumn(rid, F.xxhash64(F.col("doc_id").cast("long"), "text")).join(done, rid, "left").filter(F.col(hit).isNull() | F.col(cleaned).isNotNull())
+        new = F.when(F.col(hit), F.col(cleaned)).otherwise(F.col("text"))
+        changed = {"text": new} | ({"n_chars": F.when(F.col(hit), F.length(new)).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})
         return out.select(*[changed[c].cast(docs.schema[c].dataType).alias(c) if c in changed else F.col(c) for c in docs.columns])
     grams = docs.sparkSession.sparkContext.broadcast(_gram_set(bench, n, min_words))
 

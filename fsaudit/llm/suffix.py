@@ -318,13 +318,14 @@ def _cut(data: np.ndarray, w: _text.Words, r: int, base: int, end: int, starts:
 
 def clean(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """The documents without repeated passages; n_chars, if there, is counted anew for those that changed. A document of which nothing is left goes."""
-    marks = _few(spans(docs, window, gram).select(F.col("rid").alias("__rid"), F.col("starts").alias("__starts"), F.col("ends").alias("__ends")))
-    joined = docs.withColumn("__rid", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))).join(marks, "__rid", "left").select(*docs.columns, "__starts", "__ends")
-    names = docs.columns
+    names, (rid, first, last) = docs.columns, [_frames.fresh(docs, x) for x in ("__rid", "__starts", "__ends")]
+    marks = _few(spans(docs, window, gram).select(F.col("rid").alias(rid), F.col("starts").alias(first), F.col("ends").alias(last)))
+    own = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    joined = docs.withColumn(rid, own).join(marks, rid, "left").select(*names, first, last)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            starts, ends = b["__starts"], b["__ends"]
+            starts, ends = b[first], b[last]
             b, texts, keep = b.select(names), {}, np.ones(b.num_rows, bool)
             for r in np.flatnonzero(np.asarray(starts.is_valid())).tolist():
                 data, offsets = _text.buffers(b["text"].slice(r, 1))
