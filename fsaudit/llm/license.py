@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-NOTICE = r"(^|\n)[^a-z0-9\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
+NOTICE = r"(^|\n)[^a-z0-9\n]*(copyright|\(c\)|©|all\s+rights\s+reserved)[^\n]*"
 SIGNS = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
 SPELLINGS = {
     "licence": "license", "sub license": "sublicense", "organisation": "organization", "favour": "favor", "honour": "honor", "behaviour": "behavior", "colour": "color", "judgement": "judgment",
