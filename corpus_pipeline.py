@@ -47,4 +47,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
         docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        if k:  # the stage before is read by nothing any more
+            _frames.drop_folder(spark, f"{folder}/{k - 1}-{STAGES[k - 1][0]}")
     return docs

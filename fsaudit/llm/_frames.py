@@ -58,6 +58,12 @@ def own_folder(spark: SparkSession, what: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of our own that nothing reads any more."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def local_path(folder: str) -> str:
     """The path of a file: folder; other file systems need a mount."""
     if "://" in folder and not folder.startswith("file://"):
