@@ -70,7 +70,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, now:
         return 0
     index = read_index(spark, a.index, getattr(a, "partition", None))
     if a.tool == "report":
-        for name in report.write_reports(index, a.outdir or os.path.join(a.index, ".cruft"), now, a.days):
+        for name in report.write_reports(index, a.outdir or os.path.join(a.index, ".stale"), now, a.days):
             print(name)
         return 0
     spec = FilterSpec.of(now, a.pattern, a.min_size, a.max_size, a.older_than, a.newer_than)
