@@ -258,6 +258,23 @@ def test_near_dedup_equals_brute_force(spark):
     assert {r.doc_id for r in neardup.clean(table(spark, list(texts.values()))).collect()} == kept
 
 
+def test_near_dedup_joins_clusters_of_close_copies(spark):
+    """Light copies fill all the first places of each other; the variants that they belong to are near as well."""
+    r, texts = random.Random(11), []
+    for g, (every, copies) in enumerate([(12, 8), (14, 8), (17, 12), (13, 30)]):
+        base = words(400, 40_000 + g, 10**5)
+        for v in range(2):
+            variant = [f"v{v}x{k}" if v and k % every == 0 else w for k, w in enumerate(base)]
+            for _ in range(copies):
+                w = list(variant)
+                w[r.randrange(len(w))] = f"edit{r.random()}"
+                texts.append(" ".join(w))
+    _, mutual = brute_near(dict(enumerate(texts)))
+    assert sorted(map(len, groups(mutual))) == [16, 16, 24, 60]
+    rows = neardup.report(table(spark, texts)).collect()
+    assert len(rows) == len(texts) and sum(x.relation == "kept" for x in rows) == 4
+
+
 def test_near_dedup_recall_on_the_table(spark, sf):
     df = spark.read.parquet(f"{sf}/documents.parquet")
     near, _ = brute_near({r.doc_id: r.text for r in df.collect()})
