@@ -8,7 +8,7 @@ bits wins, of equal ones the first by name.
 Text is lower-cased, all but letters becomes single spaces. All of a text is parsed; the parse starts anew every ``SEGMENT``
 characters, which adds less than one phrase for each and lets a batch be parsed in lockstep.
 
-A document is rejected if it has no letters or if its best language needs at least ``log2`` of the alphabet's size
+Every letter of the samples is a symbol of its own. A document is rejected if it has no letters or if its best language needs at least ``log2`` of the size of that language's alphabet
 bits per letter, that is, describes it no better than letters drawn at random. Below ``LEAST_LETTERS`` letters that
 figure is too coarse to reject for.
 
@@ -33,7 +33,9 @@ from fsaudit.llm import _frames, _text
 
 TRAIN_DOCS, TRAIN_CHARS, SEGMENT, LEAST_LETTERS = 64, 32_000, 1024, 16
 REPORT = "doc_id long, lang string, predicted string, bits double, margin double, accepted boolean"
-_LETTER = np.array([chr(i).isalpha() for i in range(0x10000)])
+#: States times symbols up to which an automaton is one dense table.
+DENSE = 1 << 24
+_LETTER = np.array([chr(i).isalpha() for i in range(0x110000)])
 
 
 def _points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -43,9 +45,9 @@ def _points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def normalised(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols (0: space), where each text's begin, and letters per text. ``table`` gives the symbol of a code point below 65536; others get the last symbol."""
+    """Symbols (0: space), where each text's begin, and letters per text. ``table`` gives the symbol of a code point."""
     points, start = _points(data, offsets)
-    x = table[np.minimum(points, 0xFFFF)]
+    x = table[points]
     keep = np.ones(len(x), bool)
     keep[1:] = (x[1:] != 0) | (x[:-1] != 0)
     first = start[:-1][start[:-1] < len(x)]
@@ -56,9 +58,14 @@ def normalised(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tupl
 
 
 class Automaton:
-    """Suffix automaton of a sequence of symbols 0..size-1, as one table of (next state * 4 + phrases ended) by state and symbol."""
+    """Suffix automaton of a sequence of symbols 0..size-1, as (next state * 4 + phrases ended) by state and symbol: one table, or the sorted
+    transitions if the table would have more than ``DENSE`` places. Only the symbols of the sequence count; all others are one."""
 
     def __init__(self, text: list[int], size: int):
+        here = sorted(set(text))
+        self.own = np.full(size, len(here), np.min_scalar_type(len(here)))
+        self.own[here] = np.arange(len(here))
+        text, size = self.own[np.array(text, np.int64)].tolist(), len(here) + 1
         link, length, to = [-1], [0], [{}]
         last = 0
         for c in text:
@@ -84,22 +91,36 @@ class Automaton:
                         p = link[p]
                     link[q] = link[cur] = clone
             last = cur
-        step = np.full((len(link), size), -1, np.int32)
-        for s, x in enumerate(to):
-            for c, q in x.items():
-                step[s, c] = q
-        root = step[0]
-        # A miss ends the phrase, if one is open; the symbol opens the next, or is one by itself if the sample lacks it.
-        ended = np.where(step >= 0, 0, (np.arange(len(link)) > 0)[:, None].astype(np.int32) + (root < 0)[None, :])
-        self.table = (np.where(step >= 0, step, np.maximum(root, 0)[None, :]) * 4 + ended).astype(np.int32).ravel()
         self.size, self.log = size, float(np.log2(max(2, len(text))))
+        # A miss ends the phrase, if one is open; the symbol opens the next, or is one by itself if the sample lacks it.
+        root = np.full(size, -1, np.int32)
+        root[list(to[0])] = list(to[0].values())
+        self.miss = (np.maximum(root, 0) * 4 + (root < 0)).astype(np.int32)
+        state = np.repeat(np.arange(len(to)), [len(x) for x in to])
+        keys = state * size + np.array([c for x in to for c in x], np.int64)
+        goes = np.array([q for x in to for q in x.values()], np.int32) * np.int32(4)
+        self.dense = len(to) * size <= DENSE
+        if self.dense:
+            self.table = np.tile(self.miss, len(to))
+            self.table[size:] += 1
+            self.table[keys] = goes
+        else:
+            o = np.argsort(keys)
+            self.keys, self.goes = keys[o], goes[o]
+
+    def _step(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        if self.dense:
+            return self.table[state * np.int32(self.size) + symbol]
+        key = state * np.int64(self.size) + symbol
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.goes[at], self.miss[symbol] + (state > 0))
 
     def phrases(self, columns: np.ndarray, active: np.ndarray) -> np.ndarray:
         """Phrases of texts in lockstep: columns[k] has symbol k of each, of which the first active[k] are that long."""
         n = columns.shape[1]
         state, count = np.zeros(n, np.int32), np.zeros(n, np.int32)
         for k, m in enumerate(active.tolist()):
-            v = self.table[state[:m] * np.int32(self.size) + columns[k, :m]]
+            v = self._step(state[:m], self.own[columns[k, :m]])
             count[:m] += v & 3
             np.right_shift(v, 2, out=state[:m])
         return count + (state > 0)
@@ -109,20 +130,20 @@ class Model:
     """Automata by language over one alphabet."""
 
     def __init__(self, samples: dict[str, list[str]], most: int = TRAIN_CHARS):
-        letters = sorted({c for texts in samples.values() for t in texts for c in t.lower() if ord(c) < 0x10000 and c.isalpha()})[:253]
-        self.lut = np.where(_LETTER, len(letters) + 1, 0).astype(np.uint8)
-        self.lut[0xFFFF] = len(letters) + 1
+        letters = sorted({c for texts in samples.values() for t in texts for c in t.lower() if c.isalpha()})
+        self.size = len(letters) + 2
+        self.lut = np.where(_LETTER, len(letters) + 1, 0).astype(np.min_scalar_type(self.size))
         for k, c in enumerate(letters):
             self.lut[ord(c)] = k + 1
-        self.size = len(letters) + 2
-        self.reject = float(np.log2(max(2, len(letters))))
-        self.languages, self.automata = [], []
+        self.languages, self.automata, reject = [], [], []
         for lang in sorted(samples):
             data, offsets = _text.buffers(_text.lower(pa.array(samples[lang], pa.string())))
             x, _, _ = normalised(data, offsets, self.lut)
             if len(x):
                 self.languages.append(lang)
                 self.automata.append(Automaton(x[:most].tolist(), self.size))
+                reject.append(float(np.log2(max(2, np.count_nonzero(np.unique(x))))))
+        self.reject = np.array(reject)
 
     def bits(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Bits per symbol by text and language, and letters by text."""
@@ -157,7 +178,7 @@ class Model:
         none = letters == 0
         second = np.sort(bits, 1)[:, 1] if len(self.languages) > 1 else least
         names = np.array([*self.languages, "und"], object)
-        return {"predicted": pa.array(names[np.where(none, len(self.languages), best)], pa.string()), "bits": pa.array(least, mask=none), "margin": pa.array(second - least, mask=none), "accepted": pa.array(~none & ((least < self.reject) | (letters < LEAST_LETTERS)))}
+        return {"predicted": pa.array(names[np.where(none, len(self.languages), best)], pa.string()), "bits": pa.array(least, mask=none), "margin": pa.array(second - least, mask=none), "accepted": pa.array(~none & ((least < self.reject[best]) | (letters < LEAST_LETTERS)))}
 
 
 def train(docs: DataFrame, docs_per_language: int = TRAIN_DOCS, chars: int = TRAIN_CHARS) -> Model:

@@ -414,3 +414,29 @@ def test_language_awkward(spark, awkward, none):
     r = random.Random(1)
     noise = "".join(chr(97 + r.randrange(26)) for _ in range(400))
     assert [x.accepted for x in langid.report(table(spark, [noise, "qx"]), m).collect()] == [False, True]
+
+
+@pytest.mark.parametrize("dense", [langid.DENSE, 1 << 20])
+def test_language_scripts_of_many_letters(monkeypatch, dense):
+    """Letters far beyond a byte, and beyond the basic plane, stay apart, with the dense and the sparse table alike."""
+    monkeypatch.setattr(langid, "DENSE", dense)
+    r = random.Random(4)
+    scripts = {"aa": range(0x4E00, 0x4E00 + 600), "bb": range(0xAC00, 0xAC00 + 600), "cc": range(0x4E00 + 300, 0x4E00 + 900), "dd": range(0x20000, 0x20000 + 400)}
+    pairs = {k: [chr(r.choice(v)) + chr(r.choice(v)) for _ in range(500)] for k, v in scripts.items()}
+    texts = {k: ["".join(r.choice(p) for _ in range(200)) for _ in range(30)] for k, p in pairs.items()} | {"en": [speech("en", k) for k in range(5)]}
+    fresh = {k: "".join(r.choice(p) for _ in range(100)) for k, p in pairs.items()} | {"en": speech("en", 77)}
+    m = langid.Model(texts)
+    assert m.automata[0].dense == (dense > 1 << 20) and m.automata[m.languages.index("en")].dense
+    got = m.judge(pa.array(fresh.values()))
+    assert got["predicted"].to_pylist() == list(fresh) and all(got["accepted"].to_pylist())
+    # Letters that no sample has, and random ones of the samples' own, are rejected.
+    strange = ["".join(chr(r.randrange(0x8000, 0x9000)) for _ in range(300)), "".join(chr(97 + r.randrange(26)) for _ in range(400))]
+    assert m.judge(pa.array(strange))["accepted"].to_pylist() == [False, False]
+
+
+def test_sparse_automaton_equals_dense(monkeypatch):
+    texts = {lang: [speech(lang, k) for k in range(5)] for lang in LETTERS}
+    x = pa.array([speech("en", 99), "a", "zzz thezzz", "", "日本 the"])
+    want = langid.Model(texts).bits(x)[0]
+    monkeypatch.setattr(langid, "DENSE", 0)
+    assert (langid.Model(texts).bits(x)[0] == want).all()
