@@ -12,12 +12,13 @@ Every letter of the samples is a symbol of its own. A document is rejected if it
 bits per letter, that is, describes it no better than letters drawn at random. Below ``LEAST_LETTERS`` letters that
 figure is too coarse to reject for.
 
-Bound on training: ``TRAIN_DOCS`` documents and ``TRAIN_CHARS`` characters per language, those with the least hash of doc_id.
+Bound on training: ``TRAIN_DOCS`` documents with letters and ``TRAIN_CHARS`` characters per language, those with the least hash of doc_id; of each document a
+quarter of ``TRAIN_CHARS`` at most, from its first letter on.
 
 Defined results: null and empty texts, and all texts if nothing is labelled, have the language "und", null bits, and are rejected; repeated rows
 get equal results; a null language only keeps a row out of training; an empty table gives an empty result; other columns are kept and never looked at.
 
-Scale: training reads (lang, doc_id) once and then the text of the chosen rows; the rest is one pass without shuffle. What is broadcast has a fixed bound per language.
+Scale: training reads (lang, doc_id) of the rows with letters once and then the text of the chosen rows; the rest is one pass without shuffle. What is broadcast has a fixed bound per language.
 """
 
 from __future__ import annotations
@@ -182,13 +183,15 @@ class Model:
 
 
 def train(docs: DataFrame, docs_per_language: int = TRAIN_DOCS, chars: int = TRAIN_CHARS) -> Model:
-    ids = docs.select(F.col("lang").cast("string").alias("lang"), F.col("doc_id").cast("long").alias("doc_id")).filter("lang IS NOT NULL AND doc_id IS NOT NULL")
+    ids = docs.select(F.col("lang").cast("string").alias("lang"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    ids = ids.filter("lang IS NOT NULL AND doc_id IS NOT NULL").filter(F.col("text").rlike(r"\p{L}"))
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = ids.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= docs_per_language).select("lang", "doc_id").distinct()
     rows = docs.select(F.col("lang").cast("string").alias("lang"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), ["lang", "doc_id"])
     texts: dict[str, list] = {}
-    # No document may fill a language's sample by itself.
-    for r in sorted(rows.filter(F.length("text") <= chars // 4).collect(), key=lambda r: (r.lang, r.doc_id, r.text)):
+    # No document may fill a language's sample by itself: of a long one a piece is taken, from its first letter on.
+    piece = F.substring(F.regexp_replace("text", r"^\P{L}+", ""), 1, chars // 4).alias("text")
+    for r in sorted(rows.filter(F.col("text").rlike(r"\p{L}")).select("lang", "doc_id", piece).collect(), key=lambda r: (r.lang, r.doc_id, r.text)):
         texts.setdefault(r.lang, []).append(r.text)
     return Model(texts, chars)
 

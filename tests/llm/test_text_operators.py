@@ -440,3 +440,13 @@ def test_sparse_automaton_equals_dense(monkeypatch):
     want = langid.Model(texts).bits(x)[0]
     monkeypatch.setattr(langid, "DENSE", 0)
     assert (langid.Model(texts).bits(x)[0] == want).all()
+
+
+def test_every_labelled_language_with_text_is_trained(spark):
+    long = "   " + speech("de", 1, 4000)
+    assert len(long) > langid.TRAIN_CHARS // 4
+    rows = [(k, speech("en", k), "en") for k in range(20)] + [(100, long, "de")] + [(200 + k, "", "fr") for k in range(langid.TRAIN_DOCS)] + [(999, speech("fr", 1, 200), "fr")]
+    docs = spark.createDataFrame([(i, t, lang, "s", len(t)) for i, t, lang in rows], DOCS)
+    m = langid.train(docs)
+    assert m.languages == ["de", "en", "fr"]
+    assert m.judge(pa.array([speech(x, 50) for x in m.languages]))["predicted"].to_pylist() == m.languages
