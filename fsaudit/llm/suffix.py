@@ -8,7 +8,8 @@ under repeated windows go, so that the first occurrence of every passage stays a
    anchors at equal offsets, so only suffixes that reach windows with a common anchor have to be compared; the windows of one anchor
    lie in a stretch of ``WINDOW`` + (``WINDOW`` - ``GRAM``) words at most. Anchors are shuffled by hash.
 2. Stretches of one anchor that agree in a 128-bit hash of all their words (two independent prefix polynomials) are folded: all
-   but the first repeat it. What is left are the first of each kind, and only for anchors with several kinds.
+   but the first repeat it. What is left are the first of each kind, and only for anchors with several kinds; there the others wait for
+   what the sort finds for the windows of their first, as that names where each of theirs occurs first.
 3. Their texts are gathered by anchor. The suffixes that begin in them are sorted by mergesort; two suffixes are compared by a binary
    search for their common extension on prefix polynomial hashes, and then by their next word. Neighbours with a common extension of a window
    are verified word by word.
@@ -134,7 +135,8 @@ def _anchors(window: int, gram: int):
 
 
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spans that repeat a folded stretch, and requests for the texts of stretches to be sorted; sorted by key and order of occurrence."""
+    """Of rows sorted by key and order of occurrence: spans that repeat a folded stretch (kind 0), requests for the texts of stretches to be sorted (1), and
+    spans that repeat one of these (2), with the rid and first word of that."""
     for b in _frames.by_key(batches):
         col = {c: np.asarray(b[c]) for c in b.schema.names}
         key = col["key"]
@@ -152,11 +154,12 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # A repeated row has the same doc_id, rid and a as the first of its kind, and is as first as that.
         head = o[np.flatnonzero(new)][np.cumsum(new) - 1]
         same = (col["rid"][o] == col["rid"][head]) & (col["a"][o] == col["a"][head]) & (col["doc_id"][o] == col["doc_id"][head])
-        span, ask = ~same, new & (kinds > 1)
-        for kind, take, first in ((False, o[span], head[span]), (True, o[ask], o[ask])):
+        one, ask = kinds == 1, new & (kinds > 1)
+        for kind, take, first in ((0, o[~same & one], head[~same & one]), (1, o[ask], o[ask]), (2, o[~same & ~one], head[~same & ~one])):
             if len(take):
                 a, s = col["a"][take], col["size"][take]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(take), kind)), pa.array(col["rid"][take]), pa.array(a), pa.array(a + s), pa.array(col["key"][take] if kind else col["doc_id"][first])], names=["ask", "rid", "s", "e", "ref"])
+                ref = col["key"][take] if kind else col["doc_id"][first]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(take), kind, np.int32)), *(pa.array(x) for x in (col["rid"][take], a, a + s, ref, col["rid"][first], col["a"][first]))], names=["kind", "rid", "s", "e", "ref", "head", "at"])
 
 
 class Sorter:
@@ -219,6 +222,11 @@ class Sorter:
 def _sort(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _frames.by_key(batches):
+            copies = b.slice(0, 0)
+            if "head" in b.schema.names:
+                copies, b = b.filter(b["head"].is_valid()), b.filter(b["head"].is_null())
+            if not b.num_rows:
+                continue
             key, rid, doc, first = (np.asarray(b[c]) for c in ("key", "rid", "doc_id", "s"))
             data, offsets = _text.buffers(b["text"])
             w = _text.Words(data, offsets, "SPACE")
@@ -245,10 +253,30 @@ def _sort(window: int):
             if repeated.any():
                 p = pos[repeated].astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(rid[r][repeated]), pa.array(p), pa.array(p + np.int32(window)), pa.array(doc[r[head]][repeated])], names=["rid", "s", "e", "ref"])
+            if copies.num_rows:
+                firsts = np.empty(len(o), np.int64)
+                firsts[o] = doc[r[head]]
+                yield _of_copies(copies, key, rid, first, row, firsts, np.cumsum(starts) - starts, window)
 
     return run
 
 
+def _of_copies(copies: pa.RecordBatch, key: np.ndarray, rid: np.ndarray, first: np.ndarray, row: np.ndarray, firsts: np.ndarray, begin: np.ndarray, window: int) -> pa.RecordBatch:
+    """Spans of the copies of sorted stretches (key, rid, first), whose windows, in order, have their first occurrences in ``firsts``: one for each run of windows with the same."""
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (firsts[1:] != firsts[:-1])
+    at = np.flatnonzero(new)
+    last = np.append(at[1:], len(row)) - 1
+    low, high = np.searchsorted(row[at], np.arange(len(key))), np.searchsorted(row[at], np.arange(len(key)), "right")
+    place = {x: k for k, x in reversed(list(enumerate(zip(key.tolist(), rid.tolist(), first.tolist()))))}
+    of = np.array([place[x] for x in zip(*(copies[c].to_pylist() for c in ("key", "head", "at")))], np.int64)
+    n = high[of] - low[of]
+    run = np.repeat(low[of], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    s = np.repeat(np.asarray(copies["s"]), n).astype(np.int32)
+    k = begin[row[at[run]]]
+    return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(copies["rid"]), n)), pa.array((s + at[run] - k).astype(np.int32)), pa.array((s + last[run] - k + window).astype(np.int32)), pa.array(firsts[at[run]])], names=["rid", "s", "e", "ref"])
+
+
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Spans of each rid, sorted by (rid, s), joined where they meet."""
     for b in _frames.by_key(x.rename_columns(["key", *x.schema.names[1:]]) for x in batches):
@@ -298,10 +326,12 @@ def spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     _frames.bounded_batches(docs.sparkSession)
     own = _own(docs)
     found = own.select("doc_id", "rid", "text").mapInArrow(_anchors(window, gram), ANCHORS).repartition("key").sortWithinPartitions("key", "doc_id", "rid", "a")
-    found = _frames.cut(found.mapInArrow(_fold, "ask boolean, rid long, s int, e int, ref long"))
-    folded, asked = found.filter("NOT ask").drop("ask"), found.filter("ask").drop("ask")
+    found = _frames.cut(found.mapInArrow(_fold, "kind int, rid long, s int, e int, ref long, head long, at int"))
+    folded, asked = found.filter("kind = 0").select("rid", "s", "e", "ref"), found.filter("kind = 1").select("rid", "s", "e", "ref")
     asks = _frames.cut(asked.groupBy("rid").agg(F.collect_list(F.struct("s", "e", "ref")).alias("asks")))
     contexts = own.join(_few(asks), "rid").select("rid", "doc_id", "text", "asks").mapInArrow(_contexts, "key long, rid long, doc_id long, s int, text binary")
+    copies = found.filter("kind = 2").selectExpr("ref AS key", "rid", "CAST(NULL AS LONG) AS doc_id", "s", "CAST(NULL AS BINARY) AS text", "head", "at")
+    contexts = contexts.selectExpr("*", "CAST(NULL AS LONG) AS head", "CAST(NULL AS INT) AS at").unionByName(copies)
     sorted_ = contexts.repartition("key").sortWithinPartitions("key").mapInArrow(_sort(window), "rid long, s int, e int, ref long")
     both = folded.unionByName(sorted_).repartition("rid").sortWithinPartitions("rid", "s")
     return _frames.cut(both.mapInArrow(_merged, "rid long, starts array<int>, ends array<int>, refs array<long>"))

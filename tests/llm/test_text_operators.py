@@ -107,6 +107,25 @@ def test_suffix_dedup_equals_brute_force(spark):
         assert after.get(i, "").split() == left
 
 
+def test_copies_of_a_folded_stretch_name_the_first_occurrences(spark, tmp_path):
+    """Copies of documents that share a passage a little over a window with an earlier one, against the SQL."""
+    import duckdb
+    from fsaudit.llm import registry
+
+    texts = []
+    for g in range(25):
+        p = words(50 + g, 5000 + g)
+        z, v = words(40 + g, 6000 + g), words(70, 7000 + g)
+        texts += [" ".join(words(30 + 3 * g, 8000 + g) + p + words(60, 9000 + g)), " ".join(z + p + v), " ".join(z + p + v)]
+    table(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = registry.queries()["op3_suffix_dedup"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(suffix.ORACLE).project(", ".join(got.columns)).fetchall()
+    assert Counter(tuple(r) for r in got.collect()) == Counter(want)
+    assert {(2, 0), (2, 1), (1, 0)} <= {x[:2] for x in want}
+
+
 def test_suffixes_are_compared_by_content_when_hashes_collide(monkeypatch):
     s = suffix.Sorter(np.array([1, 2, 3, 1, 2, 4], np.uint64), 3)
     assert s.extension(np.array([0]), np.array([3])).tolist() == [2]
