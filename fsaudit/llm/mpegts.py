@@ -3,10 +3,12 @@
 ``demux`` gives one row per media row, program and elementary stream: packets are found by their sync bytes, the program association and program map tables are
 read (with CRC check), continuity counters are checked, elementary packets (PES) are reassembled, and their timestamps stored with the random-access points.
 
-Defined results: null and empty media give no row, as do media without a valid program map. Packets before the first sync byte (one that three packets confirm, or fewer at the end) and a cut packet
-at the end are skipped. A counter that neither follows nor repeats the last is one error, unless the packet says that it is discontinuous; a repeated counter with a
+Defined results: null and empty media give no row, as do media without a valid program map. What precedes the first sync byte (one that three packets confirm, or fewer at the end) and a cut packet
+at the end are skipped. Where a packet lacks its sync byte, it alone is skipped if the packets after it are in place; else the next confirmed sync byte is searched, and if that lies inside
+the packet before, that one is too short and dropped. ``n_gaps`` and ``n_skipped`` count such places and their bytes in the whole medium. A counter that neither follows nor repeats the last is one error, unless the packet says that it is discontinuous; a repeated counter with a
 payload is a duplicate, which is dropped and not an error. Packets flagged with a transport error, and elementary payload before the first PES start, are dropped; the latter is counted in ``n_orphans``. Scrambled packets count but give no
-payload. PES without a timestamp have null. Of versions of a table the first counts. Repeated rows give repeated results; an empty table gives an empty result; other columns are never looked at.
+payload. PES without a timestamp have null. The first version of a table holds from the
+beginning, a later one from where it ends; a stream has a row for each type that a program's maps give it, with the packets of that time, and a PID of several programs one for each. Repeated rows give repeated results; an empty table gives an empty result; other columns are never looked at.
 
 ``mux`` writes such streams; it serves as the source of test media.
 
@@ -25,9 +27,9 @@ from pyspark.sql import functions as F
 from fsaudit.llm import _frames, _text
 
 SIZE = 188
-SCHEMA = "doc_id long, program int, pid int, stream_type int, n_packets int, cc_errors int, n_duplicates int, n_orphans int, pts array<long>, dts array<long>, random_access array<int>, sizes array<int>, data binary"
+SCHEMA = "doc_id long, program int, pid int, stream_type int, n_packets int, cc_errors int, n_duplicates int, n_orphans int, pts array<long>, dts array<long>, random_access array<int>, sizes array<int>, n_gaps int, n_skipped int, data binary"
 _NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
-_KINDS = [pa.int64()] + [pa.int32()] * 7 + [pa.list_(pa.int64())] * 2 + [pa.list_(pa.int32())] * 2 + [pa.binary()]
+_KINDS = [pa.int64()] + [pa.int32()] * 7 + [pa.list_(pa.int64())] * 2 + [pa.list_(pa.int32())] * 2 + [pa.int32()] * 2 + [pa.binary()]
 
 _CRC = []
 for _i in range(256):
@@ -99,29 +101,55 @@ def mux(video: bytes, audio: bytes, unit: int = UNIT) -> bytes:
     return b"".join(out)
 
 
-def _sync(d: np.ndarray) -> int:
-    """Where the packets begin: at the first of 188 places at which most sync bytes lie one packet apart, the next three at least if there are so many."""
+def _packets(d: np.ndarray) -> tuple[np.ndarray, int, int]:
+    """Where the packets begin, the places where sync was lost after the first, and the bytes skipped there."""
     n = len(d)
-    for s in np.flatnonzero(d[: min(SIZE, n)] == 0x47).tolist():
-        if all(d[p] == 0x47 for p in range(s, min(n, s + 3 * SIZE), SIZE)):
-            return s
-    return n
-
-
-def _sections(packets: np.ndarray, start: np.ndarray, at: np.ndarray) -> Iterator[bytes]:
-    """Valid sections of one PID's packets; ``start`` has the payload starts, ``at`` where payloads begin."""
-    held = b""
-    for p, s, a in zip(packets, start, at):
+    good = d == 0x47
+    sure = good.copy()  # by the next two packets, if there are so many
+    for k in (1, 2):
+        sure[: max(0, n - k * SIZE)] &= good[k * SIZE :]
+    places, found, gaps, skipped = np.flatnonzero(sure), [], 0, 0
+    at = int(places[0]) if len(places) else n
+    places = places[(places + SIZE <= n) & (good[np.minimum(places + SIZE, n - 1)] | (places + SIZE == n))]
+    while at < n:
+        bad = np.flatnonzero(~good[at::SIZE][: (n - at) // SIZE])
+        m = int(bad[0]) if len(bad) else (n - at) // SIZE
+        found.append(at + SIZE * np.arange(m))
+        if not len(bad):
+            break
+        p = at + SIZE * m
+        if p + SIZE == n or p + SIZE < n and sure[p + SIZE]:
+            to = p + SIZE
+        else:
+            k = int(np.searchsorted(places, p - SIZE, "right"))
+            near = places[k : int(np.searchsorted(places, places[k] + SIZE))] if k < len(places) else places[:0]
+            # Of the places in a packet's length, the one that most packets confirm.
+            run = [int(np.argmin(np.append(good[q : q + 16 * SIZE : SIZE], False))) for q in near.tolist()]
+            to = int(near[int(np.argmax(run))]) if run else n
+            if to < p:
+                found[-1], p = found[-1][:-1], p - SIZE
+        gaps, skipped, at = gaps + 1, skipped + to - p, to
+    return np.concatenate(found) if found else np.zeros(0, np.int64), gaps, skipped
+
+
+def _sections(number: np.ndarray, packets: np.ndarray, start: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """Valid sections of one PID's packets, with the number of the packet that shows their end; ``start`` has the payload starts, ``at`` where payloads begin."""
+    held, i = b"", 0
+    for i, p, s, a in zip(number.tolist(), packets, start, at):
         body = p[a:].tobytes()
         if s and body:
             tail, body = body[1 : 1 + body[0]], body[1 + body[0] :]
             if held:
                 held += tail
-                yield from _whole(held)
+                yield from ((i, x) for x in _whole(held))
             held = body
         elif held:
             held += body
-    yield from _whole(held)
+        # A section is seen where it ends; what follows it in the packet is stuffing, or goes on in the next one.
+        while len(held) >= 3 and held[0] != 0xFF and len(held) >= (n := 3 + (int.from_bytes(held[1:3], "big") & 0xFFF)):
+            yield from ((i, x) for x in _whole(held[:n]))
+            held = held[n:]
+    yield from ((i, x) for x in _whole(held))
 
 
 def _whole(data: bytes) -> Iterator[bytes]:
@@ -141,14 +169,14 @@ def _time(x: np.ndarray) -> np.ndarray:
 
 def demux_batch(data: np.ndarray, offsets: np.ndarray) -> list[tuple]:
     """(row, program, pid, stream type, ...) as in SCHEMA for the media of a batch."""
-    parts, row = [], []
+    parts, row, gaps = [], [], {}
     for r in range(len(offsets) - 1):
         d = data[offsets[r] : offsets[r + 1]]
-        s = _sync(d)
-        n = (len(d) - s) // SIZE
-        if n > 0:
-            parts.append(d[s : s + n * SIZE].reshape(n, SIZE))
-            row.append(np.full(n, r))
+        begin, *lost = _packets(d)
+        if len(begin):
+            parts.append(d[begin[:, None] + np.arange(SIZE)])
+            row.append(np.full(len(begin), r))
+            gaps[r] = lost
     if not parts:
         return []
     p, row = np.concatenate(parts), np.concatenate(row)
@@ -170,28 +198,54 @@ def demux_batch(data: np.ndarray, offsets: np.ndarray) -> list[tuple]:
     where = {int(key[a]): o[a:b] for a, b in zip(edge, ends)}
     out = []
     for r in np.unique(row).tolist():
-        tables, seen = {}, set()
-        for x in _sections(*_take(where.get(r << 13), p, start, at, has)):
-            if x[0] == 0:
-                for k in range(8, len(x) - 4, 4):
-                    number, to = int.from_bytes(x[k : k + 2], "big"), int.from_bytes(x[k + 2 : k + 4], "big") & 0x1FFF
-                    if number:
-                        tables.setdefault(number, to)
-        for number, to in sorted(tables.items()):
-            x = next((x for x in _sections(*_take(where.get(r << 13 | to), p, start, at, has)) if x[0] == 2 and int.from_bytes(x[3:5], "big") == number), None)
-            k = 12 + (int.from_bytes(x[10:12], "big") & 0xFFF) if x else 0
-            while x and k + 5 <= len(x) - 4:
-                kind, own = x[k], int.from_bytes(x[k + 1 : k + 3], "big") & 0x1FFF
-                k += 5 + (int.from_bytes(x[k + 3 : k + 5], "big") & 0xFFF)
-                if own not in seen:
-                    seen.add(own)
-                    out.append((r, number, own, kind, *_stream(where.get(r << 13 | own, np.zeros(0, np.int64)), p, start, at, has & clear, cc, random, broken)))
+        # Where each program's map is, by time: (from packet, PID or None). A section that is not yet in force doesn't count.
+        tables: dict[int, list[tuple[int, int | None]]] = {}
+        version, now = None, set()
+        for i, x in _sections(*_take(where.get(r << 13), p, start, at, has)):
+            if x[0] != 0 or not x[5] & 1:
+                continue
+            if version not in (None, x[5]):
+                gone, now = now, set()
+            else:
+                gone = set()
+            for k in range(8, len(x) - 4, 4):
+                number, to = int.from_bytes(x[k : k + 2], "big"), int.from_bytes(x[k + 2 : k + 4], "big") & 0x1FFF
+                if number:
+                    had = tables.setdefault(number, [])
+                    if number not in now and (not had or had[-1][1] != to):
+                        had.append((i if had else -1, to))
+                    now.add(number)
+            if x[6] == x[7]:  # programs of the version before that this one no longer has
+                for number in gone - now:
+                    tables[number].append((i, None))
+            version = x[5]
+        for number, places in sorted(tables.items()):
+            maps: list[tuple[int, dict[int, int]]] = []
+            for (since, to), until in zip(places, [x[0] for x in places[1:]] + [len(p)]):
+                for i, x in _sections(*_take(where.get(r << 13 | to), p, start, at, has)) if to is not None else [(since, None)]:
+                    if x is None:
+                        maps.append((since, {}))
+                    elif x[0] == 2 and x[5] & 1 and int.from_bytes(x[3:5], "big") == number and (since < i <= until):
+                        k, own = 12 + (int.from_bytes(x[10:12], "big") & 0xFFF), {}
+                        while k + 5 <= len(x) - 4:
+                            own.setdefault(int.from_bytes(x[k + 1 : k + 3], "big") & 0x1FFF, x[k])
+                            k += 5 + (int.from_bytes(x[k + 3 : k + 5], "big") & 0xFFF)
+                        if not maps or maps[-1][1] != own:
+                            maps.append((i if maps else -1, own))
+            for own, kind in dict.fromkeys(x for _, m in maps for x in m.items()):
+                i = where.get(r << 13 | own, np.zeros(0, np.int64))
+                use = np.zeros(len(i), bool)
+                for (since, m), until in zip(maps, [x[0] for x in maps[1:]] + [len(p)]):
+                    if m.get(own) == kind:
+                        use |= (i > since) & (i <= until)
+                *x, body = _stream(i[use], p, start, at, has & clear, cc, random, broken)
+                out.append((r, number, own, kind, *x, *gaps[r], body))
     return out
 
 
 def _take(idx: np.ndarray | None, p: np.ndarray, start: np.ndarray, at: np.ndarray, has: np.ndarray) -> tuple:
     idx = np.zeros(0, np.int64) if idx is None else idx[has[idx]]
-    return p[idx], start[idx], at[idx].tolist()
+    return idx, p[idx], start[idx], at[idx].tolist()
 
 
 def _stream(i: np.ndarray, p, start, at, has, cc, random, broken) -> tuple:

@@ -115,6 +115,38 @@ def test_transport_stream_faults():
     assert int(mpegts._time(np.frombuffer(mpegts._stamp(2, big), np.uint8)[None])[0]) == big
 
 
+def test_transport_stream_sync_is_found_again():
+    r = random.Random(5)
+    video = r.randbytes(40_000)
+    whole = mpegts.mux(video, b"sound")
+    at = len(whole) // 376 * 188
+    lost = demux(whole[: at + 50] + whole[at + 51 :])[mpegts.VIDEO]
+    assert lost[5] == 1 and lost[12:14] == (1, 187) and len(video) - 184 <= len(lost[-1]) < len(video)
+    more = demux(whole[:at] + b"x" + whole[at:])[mpegts.VIDEO]
+    assert more[5] == 0 and more[12:14] == (1, 1) and more[-1] == video
+    one = demux(whole[:at] + b"x" + whole[at + 1 :])[mpegts.VIDEO]
+    assert one[12:14] == (1, 188) and one[5] == 1 and len(one[-1]) >= len(video) - 184
+    assert demux(b"n" * 1000 + whole)[mpegts.VIDEO][-1] == video and demux(whole)[mpegts.VIDEO][12:14] == (0, 0)
+
+
+def test_transport_stream_later_maps_and_shared_streams():
+    def section(pid, x):
+        return bytes([0x47, 0x40 | pid >> 8, pid & 255, 0x10]) + (b"\x00" + x).ljust(184, b"\xff")
+
+    def version(x, v):
+        x = x[:5] + bytes([0xC1 | v << 1]) + x[6:-4]
+        return x + mpegts.crc32(x).to_bytes(4, "big")
+
+    body = packets(mpegts.mux(b"v" * 5000, b"a"))
+    body = [x for x in body if (x[1] & 0x1F) << 8 | x[2] in (mpegts.VIDEO, mpegts.AUDIO)]
+    pat = mpegts._section(0, 1, b"\x00\x01\xf0\x00\x00\x02\xf0\x01")
+    maps = [section(0x1000 + k, mpegts._section(2, k + 1, b"\xe1\x00\xf0\x00" + b"\x1b\xe1\x00\xf0\x00")) for k in range(2)]
+    later = section(0x1000, version(mpegts._section(2, 1, b"\xe1\x00\xf0\x00" + b"\x1b\xe1\x00\xf0\x00" + b"\x0f\xe1\x01\xf0\x00"), 1))
+    b = b"".join([section(0, pat), *maps, later, *body])
+    rows = mpegts.demux_batch(np.frombuffer(b, np.uint8), np.array([0, len(b)]))
+    assert [(x[1:4], x[-1]) for x in rows] == [((1, 0x100, 0x1B), b"v" * 5000), ((1, 0x101, 0x0F), b"a"), ((2, 0x100, 0x1B), b"v" * 5000)]
+
+
 def test_transport_stream_awkward(spark, awkward_pages, no_pages):
     x = mpegts.mux_pages(awkward_pages)
     rows = mpegts.demux(x).collect()
