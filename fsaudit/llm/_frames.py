@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -48,8 +49,32 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_scopes: list[list[tuple[SparkSession, str]]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables that ``cut`` writes inside are deleted at the end; what is returned from there must be ``keep``-ed before."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for spark, path in _scopes.pop():
+            drop_folder(spark, path)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared folder, so that a lost executor costs no recomputation of what came before."""
+    """Write to the shared folder and read from there: a lost executor costs no recomputation of what came before, and the plans that follow know the true size. (A checkpoint
+    carries the estimate of its plan along, which grows with every join of a loop.)"""
+    path = own_folder(df.sparkSession, "cut")
+    df.write.parquet(path)
+    if _scopes:
+        _scopes[-1].append((df.sparkSession, path))
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Checkpoint in the shared folder: a result that outlives the tables of its scope."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
 

@@ -95,7 +95,10 @@ def shared_corpus():
     return out
 
 
-def test_suffix_dedup_equals_brute_force(spark):
+@pytest.mark.parametrize("hot", [suffix.HOT, 2])
+def test_suffix_dedup_equals_brute_force(spark, monkeypatch, hot):
+    """Also with nearly all repeated anchors taken for hot."""
+    monkeypatch.setattr(suffix, "HOT", hot)
     docs = list(enumerate(shared_corpus()))
     want = brute_removed(docs, 50)
     df = table(spark, [t for _, t in docs])
@@ -107,8 +110,10 @@ def test_suffix_dedup_equals_brute_force(spark):
         assert after.get(i, "").split() == left
 
 
-def test_copies_of_a_folded_stretch_name_the_first_occurrences(spark, tmp_path):
+@pytest.mark.parametrize("hot", [suffix.HOT, 2])
+def test_copies_of_a_folded_stretch_name_the_first_occurrences(spark, tmp_path, monkeypatch, hot):
     """Copies of documents that share a passage a little over a window with an earlier one, against the SQL."""
+    monkeypatch.setattr(suffix, "HOT", hot)
     import duckdb
     from fsaudit.llm import registry
 
@@ -210,13 +215,16 @@ def test_decontamination_awkward(spark, awkward, none, bench, most):
 # Near duplicates
 
 
-def brute_near(texts, t=neardup.T, ratio=neardup.RATIO, k=neardup.K):
+def shingle_sets(texts, k=neardup.K):
     def shingles(x):
         w = re.findall(r"[a-z0-9\x80-\U0010ffff]+", x.lower())
         return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
 
-    s = {d: shingles(x) for d, x in texts.items()}
-    near, mutual = set(), set()
+    return {d: shingles(x) for d, x in texts.items()}
+
+
+def brute_near(texts, t=neardup.T, ratio=neardup.RATIO, k=neardup.K):
+    s, near, mutual = shingle_sets(texts, k), set(), set()
     for a in s:
         for b in s:
             if a < b and s[a] and s[b]:
@@ -229,6 +237,19 @@ def brute_near(texts, t=neardup.T, ratio=neardup.RATIO, k=neardup.K):
     return near, mutual
 
 
+def brute_kept(texts):
+    """What stays by the rule as stated: of each group its leader, unless a leader that stays contains it."""
+    near, mutual = brute_near(texts)
+    n = {d: len(x) for d, x in shingle_sets(texts).items()}
+    first = lambda d: (-n[d], d)
+    gone = {d for g in groups(mutual) for d in g if d != min(g, key=first)}
+    kept = set()
+    for d in sorted(set(texts) - gone, key=first):
+        if not any((min(d, k), max(d, k)) in near for k in kept):
+            kept.add(d)
+    return kept
+
+
 def groups(pairs):
     up = {}
 
@@ -246,7 +267,8 @@ def groups(pairs):
 
 
 def near_corpus():
-    """Originals with edits of different strength, a group of more copies than a small bucket holds, shared openings, containment."""
+    """Originals with edits of different strength, a group of more copies than a small bucket holds, shared openings, containment, clusters of light copies of two variants, many variants of one
+    text that are far from each other with larger texts that contain most of it, and a passage that many texts, not near, consist of."""
     r, out = random.Random(8), []
     for g, n in enumerate([2, 3, 5, 40]):
         base = words(160, 10_000 + g, 10**5)
@@ -259,27 +281,7 @@ def near_corpus():
     out += [" ".join(opening + words(30 + d, 20_000 + d, 10**5)) for d in range(60)]
     base = words(100, 30_000, 10**5)
     out += [" ".join(base), " ".join(base + words(70, 30_001, 10**5)), out[0].upper(), out[0]]
-    return out
-
-
-def test_near_dedup_equals_brute_force(spark):
-    texts = dict(enumerate(near_corpus()))
-    near, mutual = brute_near(texts)
-    rows = neardup.report(table(spark, list(texts.values()))).collect()
-    got = {r.doc_id for r in rows}
-    want = {x for p in near for x in p}
-    assert got <= want and len(got & want) >= 0.9 * len(want)
-    kept = set(texts) - {r.doc_id for r in rows if r.relation != "kept"}
-    for g in groups(mutual):
-        assert len(g & kept) <= 1
-    for g in groups(near):
-        assert len(g & kept) == 1
-    assert {r.doc_id for r in neardup.clean(table(spark, list(texts.values()))).collect()} == kept
-
-
-def test_near_dedup_joins_clusters_of_close_copies(spark):
-    """Light copies fill all the first places of each other; the variants that they belong to are near as well."""
-    r, texts = random.Random(11), []
+    # Light copies are likelier partners of each other than of the other variant's.
     for g, (every, copies) in enumerate([(12, 8), (14, 8), (17, 12), (13, 30)]):
         base = words(400, 40_000 + g, 10**5)
         for v in range(2):
@@ -287,11 +289,35 @@ def test_near_dedup_joins_clusters_of_close_copies(spark):
             for _ in range(copies):
                 w = list(variant)
                 w[r.randrange(len(w))] = f"edit{r.random()}"
-                texts.append(" ".join(w))
-    _, mutual = brute_near(dict(enumerate(texts)))
-    assert sorted(map(len, groups(mutual))) == [16, 16, 24, 60]
-    rows = neardup.report(table(spark, texts)).collect()
-    assert len(rows) == len(texts) and sum(x.relation == "kept" for x in rows) == 4
+                out.append(" ".join(w))
+    for g in range(5):
+        base = words(220, 70_000 + g, 10**5)
+        for v in range(25):
+            w = list(base)
+            for k in range(v % 10, len(w), r.choice([9, 10, 11, 14, 30])):
+                w[k] = f"e{r.random()}"
+            out.append(" ".join(w))
+        out += [" ".join(words(n, 80_000 + n, 10**5) + base[:200]) for n in (60, 90, 130)]
+    common = words(60, 90_000, 10**5)
+    out += [" ".join(common + words(50 + d, 91_000 + d, 10**5)) for d in range(100)]
+    return out + [" ".join(common + words(120, 91_005, 10**5)), out[-3] + " more"]
+
+
+@pytest.mark.parametrize("unit, block", [(neardup.UNIT, neardup.BLOCK), (4_000, 16)])
+def test_near_dedup_equals_brute_force(spark, monkeypatch, unit, block):
+    """With large buckets in one place, and in parts and blocks."""
+    monkeypatch.setattr(neardup, "UNIT", unit)
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    texts = dict(enumerate(near_corpus()))
+    near, mutual = brute_near(texts)
+    assert {16, 24, 60} <= set(map(len, groups(mutual)))
+    rows = neardup.report(table(spark, list(texts.values()))).collect()
+    kept = brute_kept(texts)
+    assert set(texts) - {r.doc_id for r in rows if r.relation != "kept"} == kept
+    assert {r.doc_id for r in rows} == {x for p in near for x in p} and {r.kept_doc_id for r in rows} <= kept
+    assert not {p for p in near if set(p) <= kept} and {r.relation for r in rows} == {"kept", "copy", "mutual", "contained"}
+    n = {d: len(x) for d, x in shingle_sets(texts).items()}
+    assert all((r.n_shingles, r.kept_shingles) == (n[r.doc_id], n[r.kept_doc_id]) and (r.relation == "kept") == (r.doc_id == r.kept_doc_id) for r in rows)
 
 
 def test_near_dedup_recall_on_the_table(spark, sf):
@@ -303,14 +329,28 @@ def test_near_dedup_recall_on_the_table(spark, sf):
 
 
 def test_near_dedup_awkward(spark, awkward, none):
-    out = neardup.clean(awkward)
+    # Rows that repeat doc_id and text are one document.
+    twice = spark.createDataFrame([(20, "a b c d e f g h", "en", "s", 15, *[None] * 10)] * 2, awkward.schema)
+    both = awkward.union(twice)
+    out = neardup.clean(both)
     assert out.schema == awkward.schema
     # Copies are folded into the least doc_id, null first; other texts stay.
-    assert sorted(str(r.doc_id) for r in out.collect()) == sorted(["None", "None", "3", "4", "5", "6", "7", "8", "9"])
-    assert neardup.clean(none).count() == 0 and neardup.report(none).count() == 0
-    # Rows that repeat doc_id and text are one document.
-    twice = table(spark, ["a b c d e f g h"] * 2, [1, 1])
-    assert neardup.clean(twice).count() == 2 and neardup.report(twice).count() == 0
+    assert sorted(str(r.doc_id) for r in out.collect()) == sorted(["None", "None", "3", "4", "5", "6", "7", "8", "9", "20", "20"])
+    assert neardup.report(none).count() == 0
+
+
+@pytest.mark.parametrize("size", [3, 7, 1000])
+def test_buckets_are_told_apart_across_batches(size):
+    r = random.Random(size)
+    keys = sorted(k for k, m in enumerate([1, 2, 8, 9, 40, 1, 3, 100, 8, 9, 2]) for _ in range(m))
+    rows = pa.RecordBatch.from_pydict({"key": keys, "node": list(range(len(keys))), "n": [10] * len(keys)}, pa.schema([("key", pa.int64()), ("node", pa.int64()), ("n", pa.int32())]))
+    got = pa.Table.from_batches(list(neardup._bucket_pairs(2.0)(rows.slice(k, size) for k in range(0, len(keys), size)))).to_pylist()
+    of = defaultdict(list)
+    for node, k in enumerate(keys):
+        of[k].append(node)
+    small = {(a, b) for v in of.values() if len(v) <= neardup.SMALL for a in v for b in v if a < b}
+    assert {(x["a"], x["b"]) for x in got if x["n"] is None} >= small and r
+    assert {(x["a"], x["b"]) for x in got if x["n"] is not None} == {(x, k) for k, v in of.items() if len(v) > neardup.SMALL for x in v}
 
 
 def test_bandings_follow_the_partition():
