@@ -14,12 +14,15 @@ under repeated windows go, so that the first occurrence of every passage stays a
    search for their common extension on prefix polynomial hashes, and then by their next word. Neighbours with a common extension of a window
    are verified word by word.
 
+4. An anchor with more than ``HOT`` stretches, as a passage has that very many documents hold, takes no part in 2 and 3, as it would fill a task. Its windows are each hashed (128 bits) instead, and
+   aggregated to their first occurrence, in every task of the map side first, to which they are joined back.
+
 Defined results: null and empty texts and those of fewer than ``WINDOW`` words are left alone; repeats inside one document count; rows
 that repeat doc_id and text count as one document and are treated alike; a null doc_id comes first in the order; an empty table gives an empty result;
 other columns are kept and never looked at.
 
-Scale: one anchor for about (``WINDOW`` - ``GRAM``) / 2 words is shuffled, and text only for stretches that differ. Spans are broadcast if they are counted to be few,
-else joined by shuffle. No step holds more than one anchor's distinct stretches.
+Scale: one anchor for about (``WINDOW`` - ``GRAM``) / 2 words is written and shuffled, and text only for stretches that differ. Spans are broadcast if they are counted to be few,
+else joined by shuffle. No step holds more than ``HOT`` stretches of one anchor; the keys of the anchors beyond it, at most one for ``HOT`` anchors, go to all tasks. Documents are told apart by doc_id and a 64-bit hash.
 """
 
 from __future__ import annotations
@@ -34,8 +37,10 @@ from pyspark.sql import functions as F
 from fsaudit.llm import _frames, _text
 from fsaudit.llm.decontam import replace_texts
 
-WINDOW, GRAM = 50, 25
+WINDOW, GRAM, HOT = 50, 25, 50_000
 BROADCAST_ROWS = 250_000
+#: Stands for a null doc_id.
+NULL = -(2**63)
 REPORT = "doc_id long, n_words long, n_removed long, first_doc_ids array<long>, starts array<int>, ends array<int>"
 _Q1, _Q2 = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD1342543DE82EF95)
 
@@ -90,31 +95,40 @@ def _least(g: np.ndarray, width: int) -> np.ndarray:
     return where
 
 
-def anchors(w: _text.Words, window: int = WINDOW, gram: int = GRAM) -> dict[str, np.ndarray]:
-    """key, c1, c2 (hashes of the stretch), row, a (first word of the stretch in the row), size (words of the stretch)."""
-    n = len(w)
-    if n < window:
-        return {}
-    h = w.hashes()
-    g = h[: n - gram + 1].copy()
+def _anchored(w: _text.Words, h: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first words of all windows, and the keys of their anchors' places: (windows, place of the anchor, key by place)."""
+    g = h[: len(w) - gram + 1].copy()
     for k in range(1, gram):
         g *= np.uint64(0xC2B2AE3D27D4EB4F)
         g += h[k : k + len(g)]
     g = _text.mix(g)
-    where = _least(g, window - gram + 1)
-    valid = np.flatnonzero(w.row[: n - window + 1] == w.row[window - 1 :])
+    valid = np.flatnonzero(w.row[: len(w) - window + 1] == w.row[window - 1 :])
+    return valid, _least(g, window - gram + 1)[valid], g
+
+
+def _hashes(w: _text.Words, h: np.ndarray, a: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes of each run of words [a, e)."""
+    h2 = w.hashes(second=True)
+    c1, c2 = [(p.sums[e] - p.sums[a]) * _inverse_power(q, a) for p, q in ((Prefix(h, _Q1), _Q1), (Prefix(h2, _Q2), _Q2))]
+    return c1 + (e - a).astype(np.uint64), c2
+
+
+def anchors(w: _text.Words, window: int = WINDOW, gram: int = GRAM) -> dict[str, np.ndarray]:
+    """key, c1, c2 (hashes of the stretch), row, a (first word of the stretch in the row), size (words of the stretch)."""
+    if len(w) < window:
+        return {}
+    h = w.hashes()
+    valid, where, g = _anchored(w, h, window, gram)
     if not len(valid):
         return {}
-    where = where[valid]
     new = np.ones(len(valid), bool)
     new[1:] = (where[1:] != where[:-1]) | (valid[1:] != valid[:-1] + 1)
     a = valid[new]
     last = valid[np.append(np.flatnonzero(new)[1:] - 1, len(valid) - 1)]
     e = last + window
-    h2 = w.hashes(second=True)
-    c1, c2 = [(p.sums[e] - p.sums[a]) * _inverse_power(q, a) for p, q in ((Prefix(h, _Q1), _Q1), (Prefix(h2, _Q2), _Q2))]
+    c1, c2 = _hashes(w, h, a, e)
     row = w.row[a]
-    return {"key": g[where[new]], "c1": c1 + (e - a).astype(np.uint64), "c2": c2, "row": row, "a": a - w.first[row], "size": e - a}
+    return {"key": g[where[new]], "c1": c1, "c2": c2, "row": row, "a": a - w.first[row], "size": e - a}
 
 
 ANCHORS = "key long, c1 long, c2 long, doc_id long, rid long, a int, size int"
@@ -134,6 +148,28 @@ def _anchors(window: int, gram: int):
     return run
 
 
+def _hot_windows(keys: np.ndarray, window: int, gram: int):
+    """The windows whose anchors have these keys: hashes, document, first word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, offsets = _text.buffers(b["text"])
+            doc, rid = np.asarray(b["doc_id"]), np.asarray(b["rid"])
+            for i, j in _text.blocks(offsets):
+                w = _text.Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], "SPACE")
+                if len(w) < window:
+                    continue
+                h = w.hashes()
+                valid, where, g = _anchored(w, h, window, gram)
+                at = valid[np.isin(g[where].view(np.int64), keys)]
+                if len(at):
+                    r = w.row[at]
+                    c1, c2 = _hashes(w, h, at, at + window)
+                    yield pa.RecordBatch.from_arrays([pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), pa.array(doc[r + i]), pa.array(rid[r + i]), pa.array((at - w.first[r]).astype(np.int32))], names=["c1", "c2", "doc_id", "rid", "s"])
+
+    return run
+
+
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by key and order of occurrence: spans that repeat a folded stretch (kind 0), requests for the texts of stretches to be sorted (1), and
     spans that repeat one of these (2), with the rid and first word of that."""
@@ -159,7 +195,7 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(take):
                 a, s = col["a"][take], col["size"][take]
                 ref = col["key"][take] if kind else col["doc_id"][first]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(take), kind, np.int32)), *(pa.array(x) for x in (col["rid"][take], a, a + s, ref, col["rid"][first], col["a"][first]))], names=["kind", "rid", "s", "e", "ref", "head", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(take), kind, np.int32)), *(pa.array(x) for x in (col["rid"][take], col["doc_id"][take], a, a + s, ref, col["rid"][first], col["a"][first]))], names=["kind", "rid", "doc_id", "s", "e", "ref", "head", "at"])
 
 
 class Sorter:
@@ -252,7 +288,7 @@ def _sort(window: int):
             repeated = ~((rid[r] == rid[r[head]]) & (pos == pos[head]) & (doc[r] == doc[r[head]]))
             if repeated.any():
                 p = pos[repeated].astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(rid[r][repeated]), pa.array(p), pa.array(p + np.int32(window)), pa.array(doc[r[head]][repeated])], names=["rid", "s", "e", "ref"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (rid[r][repeated], doc[r][repeated], p, p + np.int32(window), doc[r[head]][repeated])], names=["rid", "doc_id", "s", "e", "ref"])
             if copies.num_rows:
                 firsts = np.empty(len(o), np.int64)
                 firsts[o] = doc[r[head]]
@@ -274,29 +310,32 @@ def _of_copies(copies: pa.RecordBatch, key: np.ndarray, rid: np.ndarray, first:
     run = np.repeat(low[of], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
     s = np.repeat(np.asarray(copies["s"]), n).astype(np.int32)
     k = begin[row[at[run]]]
-    return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(copies["rid"]), n)), pa.array((s + at[run] - k).astype(np.int32)), pa.array((s + last[run] - k + window).astype(np.int32)), pa.array(firsts[at[run]])], names=["rid", "s", "e", "ref"])
+    who = [np.repeat(np.asarray(copies[c]), n) for c in ("rid", "doc_id")]
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (*who, (s + at[run] - k).astype(np.int32), (s + last[run] - k + window).astype(np.int32), firsts[at[run]])], names=["rid", "doc_id", "s", "e", "ref"])
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spans of each rid, sorted by (rid, s), joined where they meet."""
+    """Spans of each document, sorted by (rid, doc_id, s), joined where they meet."""
     for b in _frames.by_key(x.rename_columns(["key", *x.schema.names[1:]]) for x in batches):
-        rid, s, e, ref = (np.asarray(b[c]) for c in ("key", "s", "e", "ref"))
-        group = np.cumsum(np.diff(rid, prepend=rid[0]) != 0)
-        far = np.maximum.accumulate(e + group * 2.0**32)  # ends so far, inside the rid
+        rid, doc, s, e, ref = (np.asarray(b[c]) for c in ("key", "doc_id", "s", "e", "ref"))
+        other = np.zeros(len(rid), bool)
+        other[1:] = (rid[1:] != rid[:-1]) | (doc[1:] != doc[:-1])
+        group = np.cumsum(other)
+        far = np.maximum.accumulate(e + group * 2.0**32)  # ends so far, inside the document
         new = np.ones(len(rid), bool)
-        new[1:] = (group[1:] != group[:-1]) | (s[1:] + group[1:] * 2.0**32 > far[:-1])
+        new[1:] = other[1:] | (s[1:] + group[1:] * 2.0**32 > far[:-1])
         at = np.flatnonzero(new)
         ends = np.maximum.reduceat(e, at)
         heads = np.flatnonzero(np.diff(group[at], prepend=-1))
         off = pa.array(np.append(heads, len(at)).astype(np.int32))
         whole = np.flatnonzero(np.diff(group, prepend=-1))
         refs = [np.unique(x).tolist() for x in np.split(ref, whole[1:])]
-        yield pa.RecordBatch.from_arrays([pa.array(rid[at][heads]), pa.ListArray.from_arrays(off, pa.array(s[at])), pa.ListArray.from_arrays(off, pa.array(ends)), pa.array(refs, pa.list_(pa.int64()))], names=["rid", "starts", "ends", "refs"])
+        yield pa.RecordBatch.from_arrays([pa.array(rid[at][heads]), pa.array(doc[at][heads]), pa.ListArray.from_arrays(off, pa.array(s[at])), pa.ListArray.from_arrays(off, pa.array(ends)), pa.array(refs, pa.list_(pa.int64()))], names=["rid", "doc_id", "starts", "ends", "refs"])
 
 
 def _own(docs: DataFrame) -> DataFrame:
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return own.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("doc_id"), "text", _frames.rid("doc_id", "text").alias("rid"))
+    return own.select(F.coalesce("doc_id", F.lit(NULL)).alias("doc_id"), "text", _frames.rid("doc_id", "text").alias("rid"))
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,20 +360,42 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """rid, starts, ends (word numbers), refs (doc_ids with the first occurrences) of each document with repeats; checkpointed."""
+SPANS = "rid long, doc_id long, s int, e int, ref long"
+
+
+def _first_windows(own: DataFrame, keys: np.ndarray, window: int, gram: int) -> DataFrame:
+    """Spans of the repeated windows of anchors with these keys."""
+    rows = _frames.cut(own.select("doc_id", "rid", "text").mapInArrow(_hot_windows(keys, window, gram), "c1 long, c2 long, doc_id long, rid long, s int"))
+    first = rows.groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "rid", "s")).alias("x"), F.count("*").alias("n")).filter("n > 1").select("c1", "c2", "x")
+    again = rows.join(first, ["c1", "c2"]).filter(F.struct("doc_id", "rid", "s") != F.col("x"))
+    return again.select("rid", "doc_id", "s", (F.col("s") + window).alias("e"), F.col("x.doc_id").alias("ref"))
+
+
+def spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most: int | None = None) -> DataFrame:
+    """rid, doc_id, starts, ends (word numbers), refs (doc_ids with the first occurrences) of each document with repeats; checkpointed."""
     _frames.bounded_batches(docs.sparkSession)
+    with _frames.scratch():
+        return _frames.keep(_spans(docs, window, gram, HOT if most is None else most))
+
+
+def _spans(docs: DataFrame, window: int, gram: int, most: int) -> DataFrame:
     own = _own(docs)
-    found = own.select("doc_id", "rid", "text").mapInArrow(_anchors(window, gram), ANCHORS).repartition("key").sortWithinPartitions("key", "doc_id", "rid", "a")
-    found = _frames.cut(found.mapInArrow(_fold, "kind int, rid long, s int, e int, ref long, head long, at int"))
-    folded, asked = found.filter("kind = 0").select("rid", "s", "e", "ref"), found.filter("kind = 1").select("rid", "s", "e", "ref")
-    asks = _frames.cut(asked.groupBy("rid").agg(F.collect_list(F.struct("s", "e", "ref")).alias("asks")))
-    contexts = own.join(_few(asks), "rid").select("rid", "doc_id", "text", "asks").mapInArrow(_contexts, "key long, rid long, doc_id long, s int, text binary")
-    copies = found.filter("kind = 2").selectExpr("ref AS key", "rid", "CAST(NULL AS LONG) AS doc_id", "s", "CAST(NULL AS BINARY) AS text", "head", "at")
+    marks = _frames.cut(own.select("doc_id", "rid", "text").mapInArrow(_anchors(window, gram), ANCHORS))
+    hot = _frames.cut(marks.groupBy("key").count().filter(F.col("count") > most).select("key"))
+    keys = np.sort(np.asarray(hot.toArrow()["key"].combine_chunks()))
+    usual = marks.join(_few(hot), "key", "left_anti") if len(keys) else marks
+    found = usual.repartition("key").sortWithinPartitions("key", "doc_id", "rid", "a")
+    found = _frames.cut(found.mapInArrow(_fold, "kind int, rid long, doc_id long, s int, e int, ref long, head long, at int"))
+    folded, asked = found.filter("kind = 0").select("rid", "doc_id", "s", "e", "ref"), found.filter("kind = 1").select("rid", "doc_id", "s", "e", "ref")
+    asks = _frames.cut(asked.groupBy("rid", "doc_id").agg(F.collect_list(F.struct("s", "e", "ref")).alias("asks")))
+    contexts = own.join(_few(asks), ["rid", "doc_id"]).select("rid", "doc_id", "text", "asks").mapInArrow(_contexts, "key long, rid long, doc_id long, s int, text binary")
+    copies = found.filter("kind = 2").selectExpr("ref AS key", "rid", "doc_id", "s", "CAST(NULL AS BINARY) AS text", "head", "at")
     contexts = contexts.selectExpr("*", "CAST(NULL AS LONG) AS head", "CAST(NULL AS INT) AS at").unionByName(copies)
-    sorted_ = contexts.repartition("key").sortWithinPartitions("key").mapInArrow(_sort(window), "rid long, s int, e int, ref long")
-    both = folded.unionByName(sorted_).repartition("rid").sortWithinPartitions("rid", "s")
-    return _frames.cut(both.mapInArrow(_merged, "rid long, starts array<int>, ends array<int>, refs array<long>"))
+    sorted_ = contexts.repartition("key").sortWithinPartitions("key").mapInArrow(_sort(window), SPANS)
+    both = folded.unionByName(sorted_)
+    if len(keys):
+        both = both.unionByName(_first_windows(own, keys, window, gram))
+    return both.repartition("rid").sortWithinPartitions("rid", "doc_id", "s").mapInArrow(_merged, "rid long, doc_id long, starts array<int>, ends array<int>, refs array<long>")
 
 
 def _cut(data: np.ndarray, w: _text.Words, r: int, base: int, end: int, starts: list[int], ends: list[int]) -> str:
@@ -348,10 +409,11 @@ def _cut(data: np.ndarray, w: _text.Words, r: int, base: int, end: int, starts:
 
 def clean(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """The documents without repeated passages; n_chars, if there, is counted anew for those that changed. A document of which nothing is left goes."""
-    names, (rid, first, last) = docs.columns, [_frames.fresh(docs, x) for x in ("__rid", "__starts", "__ends")]
-    marks = _few(spans(docs, window, gram).select(F.col("rid").alias(rid), F.col("starts").alias(first), F.col("ends").alias(last)))
-    own = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    joined = docs.withColumn(rid, own).join(marks, rid, "left").select(*names, first, last)
+    names, (rid, doc, first, last) = docs.columns, [_frames.fresh(docs, x) for x in ("__rid", "__doc", "__starts", "__ends")]
+    marks = _few(spans(docs, window, gram).select(F.col("rid").alias(rid), F.col("doc_id").alias(doc), F.col("starts").alias(first), F.col("ends").alias(last)))
+    own = F.col("doc_id").cast("long")
+    marked = docs.withColumns({rid: F.xxhash64(own, F.col("text").cast("string")), doc: F.coalesce(own, F.lit(NULL))})
+    joined = marked.join(marks, [rid, doc], "left").select(*names, first, last)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -378,8 +440,8 @@ def report(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame
             gone = [sum(e) - sum(s) for s, e in zip(b["starts"].to_pylist(), b["ends"].to_pylist())]
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(np.concatenate([np.zeros(0, np.int64), *n]), pa.int64()), pa.array(gone, pa.int64()), b["refs"], b["starts"], b["ends"]], names=["doc_id", "n_words", "n_removed", "first_doc_ids", "starts", "ends"])
 
-    out = _own(docs).join(marks, "rid").select("doc_id", "text", "refs", "starts", "ends").mapInArrow(run, REPORT)
-    none = F.lit(-(2**63))
+    out = _own(docs).join(marks, ["rid", "doc_id"]).select("doc_id", "text", "refs", "starts", "ends").mapInArrow(run, REPORT)
+    none = F.lit(NULL)
     return out.withColumn("doc_id", F.nullif("doc_id", none)).withColumn("first_doc_ids", F.transform("first_doc_ids", lambda x: F.nullif(x, none)))
 
 
