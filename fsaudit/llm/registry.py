@@ -40,7 +40,8 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_license(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license.report(_table(spark, sf_dir, "documents"))
+    docs = _table(spark, sf_dir, "documents")
+    return license.report(docs, license.own_licenses(docs))
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
