@@ -1,13 +1,14 @@
 """WARC files: an index first, then coalesced byte-range reads of what is selected.
 
-``write`` stores pages as WARC/1.1 response records, each a gzip member of its own. ``index`` walks the files once and gives (file, offset, length, record_id, url, digest) of each record; offset
-and length are of the compressed member. ``read`` takes selected index rows, sorts those of each file by offset, joins ranges whose gap is at most
+``write`` stores pages as WARC/1.1 response records, each a gzip member of its own. ``index`` walks the files once and writes (file, offset, length, record_id, url, digest) of each record as Parquet
+in the shared folder; offset and length are of the compressed member. ``read`` takes selected index rows, sorts those of each file by offset, joins ranges whose gap is at most
 ``GAP`` bytes into reads of at most ``READ`` bytes (one record at least), and cuts the records out; payloads are held against their digests.
 
-Defined results: null pages columns become empty ones and a null URL stays null in the index; a member that can't be inflated or parsed ends its file's index
-with a row of null url, digest and record_id (error true), never with an exception; rows that are selected twice are read once and returned twice; empty tables give empty results; other columns are never looked at.
+Defined results: null pages columns become empty ones and a null URL stays null in the index; bytes that can't be inflated are one index row (error true; url, digest and record_id null) from where they begin to the next gzip
+member that can, from which the index goes on; a member that is inflated but is no record is such a row by itself; a file that can't be opened is one error row with null offset and length; an empty file has no rows. A record
+without a payload digest gets the digest of its payload in the index, and is ok when read. A record that is no longer in its file is not ok and has nulls. Rows that are selected twice are read once and returned twice; a null file is left out; empty tables give empty results; other columns are never looked at.
 
-Scale: files are written by tasks under their final name by one atomic rename, so a task that runs again leaves the same file; the index has no payloads, so selecting costs
+Scale: files are written by tasks under their final name by one atomic rename, so a task that runs again leaves the same file. No file is inflated twice for its index: selections read the index that was written; it has no payloads, so selecting costs
 no read; reads are grouped by file and stretch of ``TASK`` bytes, so that one large file is read by many tasks.
 """
 
@@ -15,10 +16,12 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import mmap
 import os
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 
 from fsaudit.llm import _frames
 
-GAP, READ, TASK = 64 << 10, 8 << 20, 64 << 20
+GAP, READ, TASK, CHUNK = 64 << 10, 8 << 20, 64 << 20, 32 << 10
 INDEX = "file string, offset long, length long, record_id string, url string, digest string, error boolean"
 RECORDS = "file string, offset long, record_id string, url string, payload binary, digest string, ok boolean"
 _INDEX = pa.schema([("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("record_id", pa.string()), ("url", pa.string()), ("digest", pa.string()), ("error", pa.bool_())])
@@ -39,9 +42,11 @@ def _digest(payload: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(record_id: str, url: str | None, payload: bytes) -> bytes:
+def record(record_id: str, url: str | None, payload: bytes, digest: bool = True) -> bytes:
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     head = ["WARC/1.1", "WARC-Type: response", f"WARC-Record-ID: <{record_id}>", "WARC-Date: 2024-01-01T00:00:00Z", "Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: {_digest(payload)}", f"Content-Length: {len(http) + len(payload)}"]
+    if not digest:
+        del head[5]
     if url is not None:
         head.insert(3, "WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
     return "\r\n".join(head).encode() + b"\r\n\r\n" + http + payload + b"\r\n\r\n"
@@ -79,55 +84,73 @@ def write(pages: DataFrame, folder: str | None = None) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"file": [name]})
 
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return _frames.cut(own.mapInArrow(run, "file string"))
-
-
-def _members(f) -> Iterator[tuple[int, int, bytes | None]]:
-    """(offset, length, inflated) of the gzip members of an open file; the last may be None: broken."""
-    at, data, z, out, start = 0, b"", None, [], 0
-    while True:
-        if not data and not (data := f.read(1 << 20)):
-            if z is not None:
-                yield start, at - start, None
-            return
-        if z is None:
-            z, out, start = zlib.decompressobj(31), [], at
-        try:
-            out.append(z.decompress(data))
-        except zlib.error:
-            yield start, -1, None
-            return
-        at += len(data) - len(z.unused_data)
-        if z.eof:
-            data = z.unused_data
-            yield start, at - start, b"".join(out)
-            z = None
-        else:
-            data = b""
+    return _frames.keep(own.mapInArrow(run, "file string"))
 
 
-def index(files: DataFrame) -> DataFrame:
-    """One row per record of the files in column ``file``."""
+def _inflate(m: mmap.mmap, at: int) -> tuple[bytes | None, int]:
+    """The gzip member that begins at a place, and where it ends; None if there is no whole one."""
+    z, out = zlib.decompressobj(31), []
+    try:
+        while not z.eof:
+            data = m[at : at + CHUNK]
+            if not data:
+                return None, at
+            out.append(z.decompress(data))
+            at += len(data) - len(z.unused_data)
+    except zlib.error:
+        return None, at
+    return b"".join(out), at
+
+
+def _members(m: mmap.mmap) -> Iterator[tuple[int, int, bytes | None]]:
+    """(offset, length, inflated) of the gzip members of a mapped file, with None for what lies between those that can be inflated."""
+    at = lost = 0
+    while at < len(m):
+        raw, end = _inflate(m, at)
+        if raw is None:
+            at = m.find(b"\x1f\x8b\x08", at + 1)
+            at = len(m) if at < 0 else at
+            continue
+        if lost < at:
+            yield lost, at - lost, None
+        yield at, end - at, raw
+        at = lost = end
+    if lost < at:
+        yield lost, at - lost, None
+
+
+def _index_rows(name: str) -> Iterator[dict]:
+    try:
+        with open(name, "rb") as f:
+            if not os.fstat(f.fileno()).st_size:
+                return
+            with mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as m:
+                for offset, length, raw in _members(m):
+                    try:
+                        rid, url, digest, payload = parse(raw or b"")
+                        yield {"file": name, "offset": offset, "length": length, "record_id": rid, "url": url, "digest": digest or _digest(payload), "error": False}
+                    except ValueError:
+                        yield {"file": name, "offset": offset, "length": length, "error": True}
+    except OSError:
+        yield {"file": name, "error": True}
+
+
+def index(files: DataFrame, folder: str | None = None) -> DataFrame:
+    """One row per record of the files in column ``file``, written as Parquet to a folder (one of its own in the shared folder by default) and read from there."""
+    _frames.bounded_batches(files.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name in b["file"].to_pylist():
-                rows = []
-                with open(name, "rb") as f:
-                    for offset, length, raw in _members(f):
-                        try:
-                            rid, url, digest, _ = parse(raw or b"")
-                            rows.append({"file": name, "offset": offset, "length": length, "record_id": rid, "url": url, "digest": digest, "error": False})
-                        except ValueError:
-                            rows.append({"file": name, "offset": offset, "length": length, "error": True})
-                        if len(rows) >= 10_000:
-                            yield pa.RecordBatch.from_pylist(rows, _INDEX)
-                            rows = []
-                yield pa.RecordBatch.from_pylist(rows, _INDEX)
+                rows = _index_rows(name)
+                while some := list(islice(rows, 10_000)):
+                    yield pa.RecordBatch.from_pylist(some, _INDEX)
 
     # As many tasks as there are files: a task's time goes with its file, not with the row that names it.
-    n = max(1, files.count())
-    return files.select("file").filter("file IS NOT NULL").repartitionByRange(n, "file").mapInArrow(run, INDEX)
+    folder = folder or _frames.own_folder(files.sparkSession, "warc-index")
+    files = files.select("file").filter("file IS NOT NULL")
+    files.repartitionByRange(max(1, files.count()), "file").mapInArrow(run, INDEX).write.parquet(folder)
+    return files.sparkSession.read.parquet(folder)
 
 
 def ranges(offset: np.ndarray, length: np.ndarray, gap: int = GAP, most: int = READ) -> Iterator[tuple[int, int, int, int]]:
@@ -150,6 +173,9 @@ def read(selected: DataFrame, task: int = TASK) -> DataFrame:
         for b in batches:
             for name, span in zip(b["file"].to_pylist(), b["at"].to_pylist()):
                 offset, length = np.array([x["offset"] for x in span]), np.array([x["length"] for x in span])
+                if not os.path.exists(name):  # it was there when the index was made
+                    yield pa.RecordBatch.from_pylist([{"file": name, "offset": x["offset"], "ok": False} for x in span for _ in range(x["n"])], _RECORDS)
+                    continue
                 with open(name, "rb") as f:
                     for i, j, start, end in ranges(offset, length):
                         f.seek(start)
@@ -157,7 +183,8 @@ def read(selected: DataFrame, task: int = TASK) -> DataFrame:
                         for k in range(i, j):
                             try:
                                 rid, url, digest, payload = parse(zlib.decompress(data[offset[k] - start : offset[k] - start + length[k]], 31))
-                                row = {"record_id": rid, "url": url, "payload": payload, "digest": digest, "ok": digest == _digest(payload)}
+                                own = _digest(payload)
+                                row = {"record_id": rid, "url": url, "payload": payload, "digest": digest or own, "ok": digest in (None, own)}
                             except (ValueError, zlib.error):
                                 row = {"ok": False}
                             rows += [row | {"file": name, "offset": int(offset[k])}] * span[k]["n"]
@@ -165,7 +192,7 @@ def read(selected: DataFrame, task: int = TASK) -> DataFrame:
 
     own = selected.filter("NOT error").groupBy("file", "offset", "length").agg(F.count("*").alias("n"))
     own = own.groupBy("file", F.expr(f"offset div {task}").alias("stretch")).agg(F.sort_array(F.collect_list(F.struct("offset", "length", "n"))).alias("at"))
-    own = _frames.cut(own)
+    own = _frames.keep(own)
     # One task per stretch: its rows are few, but stand for up to TASK bytes to read.
     return own.repartitionByRange(max(1, own.count()), "file", "stretch").mapInArrow(run, RECORDS)
 
