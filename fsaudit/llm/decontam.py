@@ -8,8 +8,8 @@ document whose hash is in the set is compared word by word with the test n-grams
 that hash. Words under a hit are covered. If the covered share of a document's words
 reaches ``drop_share`` the document goes, else the covered spans do.
 
-Defined results: null and empty texts have no hit; repeated rows are judged alike;
-empty tables give empty results; other columns are kept and never looked at.
+Defined results: null and empty texts have no hit; an item with a null item_id counts like any other, but ``items`` can't name it; items
+that repeat an item_id count all; repeated rows are judged alike; empty tables give empty results; other columns are kept and never looked at.
 
 Scale: one pass over the documents and no shuffle while the benchmark's text is
 within ``broadcast_bytes`` (measured, not assumed). Beyond it the n-grams of both
@@ -110,7 +110,7 @@ def _scan(texts: pa.Array, grams: GramSet) -> Iterator[tuple[int, list, int]]:
 
 
 def _items(bench: DataFrame) -> DataFrame:
-    return bench.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id IS NOT NULL AND text IS NOT NULL")
+    return bench.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
 
 
 def _small(bench: DataFrame, most: int) -> bool:
@@ -123,7 +123,7 @@ def _gram_set(bench: DataFrame, n: int, min_words: int) -> GramSet:
 
 def _line(doc_id, text: str, hits: list, words: int, drop_share: float) -> tuple:
     covered, drop = _judge(hits, words, drop_share)
-    items = sorted(set().union(*[x for _, _, x in hits]))
+    items = sorted(set().union(*[x for _, _, x in hits]) - {None})
     at = {(f, s) for f, s, _ in hits}
     return doc_id, words, len(at), int(covered.sum()), items, "document" if drop else "span", None if drop else _without(text, covered)
 
@@ -144,7 +144,7 @@ def _joined_hits(docs: DataFrame, bench: DataFrame, n: int, min_words: int) -> D
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate([pa.int32(), pa.int64(), pa.binary(), pa.int64()])], names=["size", "gram", "words", "item"])
 
-    held = _frames.cut(_items(bench).mapInArrow(bench_grams, "size int, gram long, words binary, item long"))
+    held = _frames.keep(_items(bench).mapInArrow(bench_grams, "size int, gram long, words binary, item long"))
     sizes = sorted(r[0] for r in held.select("size").distinct().collect())  # n at most
 
     def doc_grams(batches):
@@ -259,7 +259,7 @@ WITH d AS (SELECT doc_id, text, row_number() OVER () AS rn, list_filter(regexp_s
  p AS (SELECT rn, w, size, unnest(generate_series(1, len(w) - size + 1)) AS i FROM d, (SELECT DISTINCT size FROM s)),
  h AS (SELECT rn, i, p.size, item_id FROM (SELECT rn, i, size, array_to_string(list_slice(w, i, i + size - 1), ' ') AS gram FROM p) p JOIN g ON p.size = g.size AND p.gram = g.gram),
  c AS (SELECT rn, count(DISTINCT k) AS n_covered FROM (SELECT rn, unnest(generate_series(i, i + size - 1)) AS k FROM h) GROUP BY rn),
- a AS (SELECT rn, count(DISTINCT (i, size)) AS n_hits, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS items FROM h GROUP BY rn)
+ a AS (SELECT rn, count(DISTINCT (i, size)) AS n_hits, coalesce(string_agg(DISTINCT item_id, ',' ORDER BY item_id), '') AS items FROM h GROUP BY rn)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, n_hits, n_covered, items,
  CASE WHEN n_covered >= {DROP_SHARE} * len(w) THEN 'document' ELSE 'span' END AS action
 FROM d JOIN a USING (rn) JOIN c USING (rn)"""
