@@ -9,9 +9,9 @@ Of the bins with the chosen gap, the one opened first is taken.
 
 Tokens are counted with ``length``, a column expression (words between white space by default).
 Defined results: null and empty texts have no tokens and are in no bin; repeated rows
-are packed as often as they occur; an empty table gives no bins; a null doc_id is kept as null.
+are packed as often as they occur; an empty table gives no bins; a null doc_id is kept as null, and such documents are spread over the shards by the hash of their text.
 
-Scale: only (doc_id, length) is shuffled. Shards are hashes of doc_id, one for about
+Scale: only (doc_id, hash, length) is shuffled. Shards are residues of the hash, one for about
 ``shard_docs`` documents, so the order in a shard is random as the rule's analysis wants
 it and the loss from open bins at a shard's end is below a bin or two per gap class.
 """
@@ -39,10 +39,16 @@ def _words(docs: DataFrame) -> DataFrame:
         for b in batches:
             data, offsets = _text.buffers(b["text"])
             n = [np.diff(_text.Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], "SPACE").first) for i, j in _text.blocks(offsets)]
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(np.concatenate([np.zeros(0, np.int64), *n]), pa.int64())], names=["doc_id", "n"])
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["order"], pa.array(np.concatenate([np.zeros(0, np.int64), *n]), pa.int64())], names=["doc_id", "order", "n"])
 
     _frames.bounded_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n long")
+    return docs.select(*_id(), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, order long, n long")
+
+
+def _id() -> list[Column]:
+    """doc_id, and the hash that gives its place: of doc_id, or of the text for a null one."""
+    doc = F.col("doc_id").cast("long")
+    return [doc.alias("doc_id"), F.when(doc.isNull(), F.xxhash64(F.col("text").cast("string"))).otherwise(F.xxhash64(doc)).alias("order")]
 
 
 def sum_of_squares(sizes: np.ndarray, capacity: int) -> np.ndarray:
@@ -104,8 +110,8 @@ def pack_shard(pdf: pd.DataFrame, capacity: int) -> pd.DataFrame:
 def pack(docs: DataFrame, capacity: int = CAPACITY, shard_docs: int = SHARD_DOCS, length: Column | None = None) -> DataFrame:
     """One row per bin: shard, bin, n_tokens, n_pieces, and, piece by piece, doc_ids, starts (token offset in the document) and lengths."""
     shards = max(1, -(-docs.count() // shard_docs))  # counts rows from the footers, reads no column
-    own = _words(docs) if length is None else docs.select(F.col("doc_id").cast("long").alias("doc_id"), length.cast("long").alias("n"))
-    own = own.filter("n > 0").withColumn("order", F.xxhash64("doc_id")).withColumn("doc_id", F.coalesce("doc_id", F.lit(NULL)))
+    own = _words(docs) if length is None else docs.select(*_id(), length.cast("long").alias("n"))
+    own = own.filter("n > 0").withColumn("doc_id", F.coalesce("doc_id", F.lit(NULL)))
     own = own.withColumn("shard", F.pmod(F.col("order"), F.lit(shards)).cast("int"))
     # A count of one's own keeps AQE from joining shards: they are a few bytes a document, but much work.
     return own.repartition(shards, "shard").groupBy("shard").applyInPandas(lambda pdf: pack_shard(pdf, capacity), SCHEMA)
