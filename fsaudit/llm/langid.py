@@ -12,8 +12,8 @@ Every letter of the samples is a symbol of its own. A document is rejected if it
 bits per letter, that is, describes it no better than letters drawn at random. Below ``LEAST_LETTERS`` letters that
 figure is too coarse to reject for.
 
-Bound on training: ``TRAIN_DOCS`` documents with letters and ``TRAIN_CHARS`` characters per language, those with the least hash of doc_id; of each document a
-quarter of ``TRAIN_CHARS`` at most, from its first letter on.
+Bounds on training: the ``LANGUAGES`` labels with the most documents with letters; of each ``TRAIN_DOCS`` documents with letters and ``TRAIN_CHARS`` characters, those with the least hash of doc_id; of each document a
+quarter of ``TRAIN_CHARS`` at most, from its first letter on. Of rows that repeat a label and doc_id, the least piece counts.
 
 Defined results: null and empty texts, and all texts if nothing is labelled, have the language "und", null bits, and are rejected; repeated rows
 get equal results; a null language only keeps a row out of training; an empty table gives an empty result; other columns are kept and never looked at.
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from fsaudit.llm import _frames, _text
 
-TRAIN_DOCS, TRAIN_CHARS, SEGMENT, LEAST_LETTERS = 64, 32_000, 1024, 16
+LANGUAGES, TRAIN_DOCS, TRAIN_CHARS, SEGMENT, LEAST_LETTERS = 200, 64, 32_000, 1024, 16
 REPORT = "doc_id long, lang string, predicted string, bits double, margin double, accepted boolean"
 #: States times symbols up to which an automaton is one dense table.
 DENSE = 1 << 24
@@ -182,16 +182,19 @@ class Model:
         return {"predicted": pa.array(names[np.where(none, len(self.languages), best)], pa.string()), "bits": pa.array(least, mask=none), "margin": pa.array(second - least, mask=none), "accepted": pa.array(~none & ((least < self.reject[best]) | (letters < LEAST_LETTERS)))}
 
 
-def train(docs: DataFrame, docs_per_language: int = TRAIN_DOCS, chars: int = TRAIN_CHARS) -> Model:
-    ids = docs.select(F.col("lang").cast("string").alias("lang"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ids = ids.filter("lang IS NOT NULL AND doc_id IS NOT NULL").filter(F.col("text").rlike(r"\p{L}"))
+def train(docs: DataFrame, docs_per_language: int = TRAIN_DOCS, chars: int = TRAIN_CHARS, languages: int = LANGUAGES) -> Model:
+    own = docs.select(F.col("lang").cast("string").alias("lang"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    own = own.filter("lang IS NOT NULL AND doc_id IS NOT NULL").filter(F.col("text").rlike(r"\p{L}"))
+    # One row per label: how many documents, and the first of them by the hash of their doc_id.
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = ids.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= docs_per_language).select("lang", "doc_id").distinct()
-    rows = docs.select(F.col("lang").cast("string").alias("lang"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), ["lang", "doc_id"])
-    texts: dict[str, list] = {}
+    ids = own.select("lang", "doc_id").withColumn("k", F.row_number().over(first)).filter(F.col("k") <= docs_per_language).select("lang", "doc_id").distinct()
+    if len(common := own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages + 1).collect()) > languages:
+        ids = ids.filter(F.col("lang").isin([r.lang for r in common[:languages]]))
     # No document may fill a language's sample by itself: of a long one a piece is taken, from its first letter on.
     piece = F.substring(F.regexp_replace("text", r"^\P{L}+", ""), 1, chars // 4).alias("text")
-    for r in sorted(rows.filter(F.col("text").rlike(r"\p{L}")).select("lang", "doc_id", piece).collect(), key=lambda r: (r.lang, r.doc_id, r.text)):
+    rows = own.join(F.broadcast(ids), ["lang", "doc_id"]).select("lang", "doc_id", piece).groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
+    texts: dict[str, list] = {}
+    for r in sorted(rows.collect(), key=lambda r: (r.lang, r.doc_id)):
         texts.setdefault(r.lang, []).append(r.text)
     return Model(texts, chars)
 
