@@ -1,6 +1,7 @@
 """Operators 1, 2, 5, 7 and 8, the pipeline and the registered queries."""
 
 import gzip
+import hashlib
 import os
 import random
 from collections import Counter
@@ -40,7 +41,8 @@ def test_quality_held_out_accuracy(spark, sf):
     d = sf.replace("sf0.001", "sf0.01")
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
     m = quality.train(docs, labels.filter("doc_id % 3 <> 0"))
-    assert m.exchanged > 0
+    # The text view teaches the other; metadata say nothing about quality here, so that view is never confident.
+    assert m.exchanged[0] > 0 and m.exchanged[1] == 0
     rows = quality.report(docs, labels, m).join(labels.filter("doc_id % 3 = 0").withColumnRenamed("quality", "y"), "doc_id").collect()
     assert len(rows) > 80 and sum(r.keep == bool(r.y) for r in rows) >= 0.93 * len(rows)
     assert quality.report(docs, labels, m).count() == docs.count()
@@ -52,12 +54,59 @@ def test_views_teach_each_other():
     n = 4000
     y = r.integers(0, 2, n).astype(float)
     first = r.random(n) < 0.5
-    text = np.stack([np.where(first, 4 * y - 2, 0) + r.normal(size=n) * 0.5, np.ones(n)], 1)
-    meta = np.stack([np.where(first, 0, 4 * y - 2) + r.normal(size=n) * 0.5, np.ones(n)], 1)
-    m = quality.Model(text[:300], meta[:300], y[:300], text[300:2000], meta[300:2000])
-    a, b, q = m.scores(text[2000:], meta[2000:])
-    right = [((s > 0.5) == y[2000:]).mean() for s in (a, b, q)]
-    assert right[2] > 0.95 > max(right[:2]) and m.exchanged > 100
+    x = [np.stack([np.where(z, 4 * y - 2, 0) + r.normal(size=n) * 0.5, np.ones(n)], 1) for z in (first, ~first)]
+    x = [quality.Features(v, np.zeros(0, np.int64), np.zeros(n + 1, np.int64)) for v in x]
+    pool, used = np.arange(300, 2000), [set(), set()]
+
+    def choose(views):
+        out, (up, down) = [], views.bounds()
+        for k, z in enumerate(views.odds([v.take(pool) for v in x])):
+            own = [i for i in np.argsort(-np.abs(z)) if i not in used[k] and not down < z[i] < up][:100]
+            used[k] |= set(own)
+            out.append((*(v.take(pool[own]) for v in x), (z[own] > 0).astype(float)))
+        return out
+
+    m = quality.cotrain(*(v.take(np.arange(300)) for v in x), y[:300], choose)
+    right = [((s > 0.5) == y[2000:]).mean() for s in m.scores(*(v.take(np.arange(2000, n)) for v in x))]
+    assert right[2] > 0.95 > max(right[:2]) and min(m.exchanged) > 50
+
+
+def test_exchange_equals_brute_force(spark):
+    """The distributed choice of each round against sorting all documents in one place: the models come out alike."""
+    r = random.Random(3)
+    good, bad = [f"fine{k}" for k in range(60)], [f"junk{k}" for k in range(60)]
+    rows, labels = [], []
+    for d in range(600):
+        y = r.random() < 0.6
+        text = " ".join(r.choice(good if (r.random() < (0.75 if y else 0.25)) else bad) for _ in range(r.randrange(1, 30)))
+        rows.append((d, text, "en", ("a" if y else "b") if r.random() < 0.9 else "c", len(text)))
+        if d % 5 == 0:
+            labels.append((d, int(y)))
+    docs = spark.createDataFrame(rows + rows[:50], DOCS).repartition(7)
+    known = spark.createDataFrame(labels, "doc_id long, quality int")
+    order = {x.doc_id: x.h for x in spark.createDataFrame(rows, DOCS).select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+    text, meta = quality.text_features(pa.array([x[1] for x in rows])), quality.meta_features(pa.array([x[3] for x in rows]), pa.array([x[2] for x in rows]))
+    y = dict(labels)
+    used = [set(y), set(y)]
+
+    def choose(views):
+        out, (up, down), (n1, n0) = [], views.bounds(), quality._quotas(views.share, 40)
+        for k, z in enumerate(views.odds((text, meta))):
+            left = [d for d in range(600) if d not in used[k]]
+            one = sorted((d for d in left if z[d] >= up), key=lambda d: (-z[d], order[d]))[:n1]
+            two = sorted((d for d in left if z[d] <= down), key=lambda d: (z[d], order[d]))[:n0]
+            used[k] |= {*one, *two}
+            picked = sorted(one + two)
+            out.append((text.take(np.array(picked, int)), meta.take(np.array(picked, int)), np.array([float(d in one) for d in picked])))
+        return out
+
+    at = np.array(sorted(y))
+    want = quality.cotrain(text.take(at), meta.take(at), np.array([float(y[d]) for d in at]), choose)
+    got = quality.train(docs, known, per_round=40)
+    assert got.exchanged == want.exchanged and min(got.exchanged) > 20
+    for a, b in zip(got.weights + got.lines, want.weights + want.lines):
+        assert np.allclose(a, b, atol=1e-6)
+    assert sum(s == t for s, t in zip(got.scores(text, meta)[2] > 0.5, want.scores(text, meta)[2] > 0.5)) == 600
 
 
 def test_quality_awkward(spark):
@@ -68,8 +117,10 @@ def test_quality_awkward(spark):
     assert len(got) == 6 and {r.quality for r in got} == {1.0}  # one label, a tie, is good: no model to fit
     assert {r.quality for r in quality.report(docs, labels.limit(0)).collect()} == {0.5}
     assert quality.report(docs.limit(0), labels).count() == 0
-    text = quality.text_features(pa.array(["a a a\na a a\nb!", None, ""]))
-    assert np.isfinite(text).all() and text[0, 11] == pytest.approx(1 / 3) and not text[1:].any()
+    x = quality.text_features(pa.array(["a a a\na a a\nb!", None, "", "a a"]))
+    assert np.isfinite(x.dense).all() and x.dense[0, 11] == pytest.approx(1 / 3) and not x.dense[1:3].any() and np.diff(x.start).tolist() == [4, 0, 0, 2]
+    m = quality.meta_features(pa.array(["s", None, "s", "t u"]), pa.array(["en", None, "en", None]))
+    assert (m.dense.sum(1) == 4).all() and (m.dense[0] == m.dense[2]).all() and (m.dense[0] != m.dense[1]).any()
 
 
 # Transport streams
@@ -159,13 +210,22 @@ def test_transport_stream_awkward(spark, awkward_pages, no_pages):
 
 # Licences
 
-TEXT = "The Example Licence\n\nCopyright (c) 2020 Somebody\nAll rights reserved.\n\nPermission for any organisation to use this, provided that the colour stays.\n"
+GRANT = "Permission is hereby granted to any organisation to use this for any purpose, with or without changes, provided that the colour stays and that the above copyright notice is kept in all copies."
+TEXT = f"The Example Licence\n\nCopyright (c) 2020 Somebody\nAll rights reserved.\n\n{GRANT}\n\n(c) You must retain notices in all copies of any part of the work that you hand on.\n"
 
 
 def test_license_variants(spark):
     own = license.catalogue(spark.createDataFrame([("Example", TEXT), ("Other", "something else"), ("Alias", TEXT.upper()), ("None", None)], "license string, text string"))
-    variants = [TEXT, TEXT.upper(), TEXT.replace("Licence", "License").replace("organisation", "organization").replace("colour", "color"), TEXT.replace("2020 Somebody", "1999-2024 The Authors, Inc."), TEXT.replace("\n", "\r\n").replace(" ", "   "), " * " + TEXT.replace("\n", "\n * "), TEXT.replace("\nCopyright", "\n  © 2001 Else\nCopyright")]
-    others = [TEXT + "And more.", TEXT.replace("any", "no"), "", "  ", "Copyright (c) 2020 Somebody", None, "x" * 1_000_000]
+    wrapped = GRANT.replace("the above copyright", "the above\ncopyright").replace("with or", "with\nor")
+    variants = [
+        TEXT, TEXT.upper(), TEXT.replace("Licence", "License").replace("organisation", "organization").replace("colour", "color"), TEXT.replace("2020 Somebody", "1999-2024 The Authors, Inc."), TEXT.replace("\n", "\r\n").replace(" ", "   "),
+        " * " + TEXT.replace("\n", "\n * "), TEXT.replace("\nCopyright", "\n  © 2001 Else\nCopyright"), TEXT.replace("Copyright (c) 2020 Somebody\n", "Copyright 2020, Somebody. All rights reserved.\n"), TEXT.replace("Copyright (c) 2020 Somebody\nAll rights reserved.\n", ""),
+        TEXT.replace(GRANT, wrapped), TEXT.replace("reserved.\n\n", "reserved.\n"), TEXT + "\n  Copyright [yyyy] [name of the owner]\n", TEXT + "\n  (C) Copyright The Others\n",
+    ]
+    others = [
+        TEXT + "And more.", TEXT.replace("any", "no"), "", "  ", "Copyright (c) 2020 Somebody", None, "x" * 1_000_000, TEXT.replace("(c) You must retain notices in", "(c) You may drop notices from"), TEXT.replace("(c) You", "(c) 2024 you"),
+        TEXT.replace("colour", "scolour"), TEXT.replace("Copyright (c) 2020 Somebody", "Copyright holders are Somebody"),
+    ]
     docs = spark.createDataFrame([(k, t, "x", "y") for k, t in enumerate(variants + others)] + [(None, TEXT, "x", "y")] * 2, "doc_id long, text string, digest string, license string")
     got = license.report(docs, own).collect()
     assert len(got) == docs.count()
@@ -174,6 +234,30 @@ def test_license_variants(spark):
     assert {r.doc_id for r in got if r.digest is None} == {len(variants) + k for k in (2, 3, 4, 5)}
     assert license.report(docs, own.limit(0)).filter("license IS NOT NULL").count() == 0
     assert license.report(docs.limit(0)).count() == 0 and len(license.KNOWN) >= 15
+    # The SQL gives the same digests and, for the texts of the house, the same names.
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [(r.doc_id, r.text) for r in docs.collect()])
+    rows = license.report(docs, license.own_licenses(docs)).collect()
+    assert Counter(map(tuple, rows)) == Counter(con.sql(license.oracle()).project("doc_id, digest, license").fetchall()) and sum(r.license == "own-5" for r in rows) == len(variants) + 2
+
+
+def test_license_spellings_are_whole_words():
+    texts = ["A sub-licence, sub  license; sub licences. Non-infringement per cent percentage", "behaviour misbehaviour https httpsx", "sub sub licence license", None, ""]
+    assert [x.decode() for x in license.canonical(pa.array(texts))] == ["a sublicense sublicense sub licenses noninfringement percent percentage", "behavior misbehaviour http httpsx", "sub sublicense license", "", ""]
+
+
+def test_known_licenses_of_this_system():
+    """The catalogue against the texts that the system has, under other names of theirs and wrapped anew."""
+    folder, found = "/usr/share/common-licenses", 0
+    for name, key in (("Apache-2.0", "Apache-2.0"), ("GPL-2", "GPL-2.0"), ("GPL-3", "GPL-3.0"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0")):
+        if os.path.exists(f"{folder}/{name}"):
+            text = open(f"{folder}/{name}", encoding="utf-8").read()
+            for t in (text, text.upper(), text.replace("\n", "\n# "), text.replace("[yyyy] [name of copyright owner]", "2020 Somebody")):
+                assert hashlib.sha256(next(license.canonical(pa.array([t])))).hexdigest() == license.KNOWN[key]
+            found += 1
+    if not found:
+        pytest.skip("no licence texts here")
 
 
 # URLs
@@ -206,13 +290,28 @@ def test_url_filter_equals_brute_force(spark):
 
 def test_url_keys_and_collisions(spark, tmp_path):
     word = "ünï.example/é"
-    assert spark.range(1).select(F.xxhash64(F.lit(word))).first()[0] % 2**64 == xxhash.xxh64_intdigest(word.encode(), urlfilter.SEED)
+    assert spark.range(1).select(F.xxhash64(F.lit(word))).first()[0] % 2**64 == xxhash.xxh64_intdigest(word.encode(), 42)
     # Three entries under one key: only stored strings decide.
     strings = [b"one", b"other", b"third"]
     for name, x in (("keys", np.array([7, 7, 7], np.uint64)), ("offsets", np.array([0, 3, 8, 13], np.int64)), ("strings", np.frombuffer(b"".join(strings), np.uint8))):
         (tmp_path / f"00000.{name}").write_bytes(x.tobytes())
     f = urlfilter.Filter(f"{tmp_path}?0")
-    assert f.contains([b"other", b"missing", b"one", b"third"], np.array([7, 7, 7, 8], np.uint64)).tolist() == [True, False, True, False]
+    assert f.contains(pa.array(["other", "missing", "one", "third"]), np.array([7, 7, 7, 8], np.uint64)).tolist() == [True, False, True, False]
+
+
+def test_url_filter_sees_through_ports_and_user_info(spark):
+    bad = ["http://evil.com:8080/a", "http://evil.com?x=1", "http://u@evil.com/", "http://u:p@x@evil.com/", "http://evil.com./", "HTTPS://Sub.Evil.COM..:443", "//evil.com/x", "evil.com#f", "http://[::1]:99/x", "http://one.org/p", "http://u@ONE.org.:80/p/", "http://two.org:81/"]
+    good = ["http://evil.com.example/", "http://notevil.com", "http://ok.org/?u=evil.com", "http://ok.org/@evil.com", "http://one.org:8080/p", "http://one.org/q", "http://two.org/", "http://" + "a." * 100_000 + "evil.com/", "://", None]
+    where = urlfilter.build(spark.createDataFrame([("evil.com",), ("[::1]",), ("https://one.org/p",), ("two.org:81",)], "url string"))
+    pages = spark.createDataFrame(list(enumerate(bad + good)), "page_id long, url string")
+    got = {r.page_id: r.matched for r in urlfilter.report(pages, where).collect()}
+    assert [got[k] for k in range(len(bad))] == ["evil.com"] * 8 + ["[::1]", "one.org/p", "one.org/p", "two.org:81"] and not any(got[len(bad) + k] for k in range(len(good)))
+    # The SQL reads such URLs alike, though it is written otherwise.
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?)", list(enumerate(bad + good)))
+    rows = urlfilter.report(pages, urlfilter.build(urlfilter.sample_list(pages))).collect()
+    assert Counter(map(tuple, rows)) == Counter(con.sql(urlfilter.ORACLE).project("page_id, url, blocked, matched").fetchall())
 
 
 def test_url_filter_awkward(spark, awkward_pages, no_pages):
@@ -252,16 +351,40 @@ def test_warc_broken_files(spark, tmp_path):
     good = gzip.compress(warc.record("urn:page:1", "http://x.example/", b"payload"))
     other = gzip.compress(b"no record")
     (tmp_path / "a.warc.gz").write_bytes(good + other + good[:-9])
-    (tmp_path / "b.warc.gz").write_bytes(good + b"garbage" + good)
+    (tmp_path / "b.warc.gz").write_bytes(good + b"garbage" + good + good[:30] + good)
     (tmp_path / "c.warc.gz").write_bytes(b"")
-    files = spark.createDataFrame([(str(tmp_path / f"{x}.warc.gz"),) for x in "abc"] + [(None,)], "file string")
-    rows = warc.index(files).collect()
-    assert Counter((os.path.basename(r.file)[0], r.error) for r in rows) == {("a", False): 1, ("a", True): 2, ("b", False): 1, ("b", True): 1}
-    assert [r.length for r in rows if not r.error] == [len(good)] * 2
+    files = spark.createDataFrame([(str(tmp_path / f"{x}.warc.gz"),) for x in "abc"] + [(None,), (str(tmp_path / "z.warc.gz"),)], "file string")
+    index = warc.index(files)
+    rows = index.collect()
+    assert Counter((os.path.basename(r.file)[0], r.error) for r in rows) == {("a", False): 1, ("a", True): 2, ("b", False): 3, ("b", True): 2, ("z", True): 1}
+    assert [r.length for r in rows if not r.error] == [len(good)] * 4
+    n = len(good)
+    assert sorted((r.offset, r.length) for r in rows if r.file.endswith("b.warc.gz")) == [(0, n), (n, 7), (n + 7, n), (2 * n + 7, 30), (2 * n + 37, n)]
+    assert [(r.offset, r.length) for r in rows if r.file.endswith("z.warc.gz")] == [(None, None)]
+    assert [r.ok for r in warc.read(index).collect()] == [True] * 4
     wrong = warc.record("urn:page:1", "u", b"payload").replace(b"payload", b"pAyload")
     (tmp_path / "d.warc.gz").write_bytes(gzip.compress(wrong))
     one = warc.index(spark.createDataFrame([(str(tmp_path / "d.warc.gz"),)], "file string"))
     assert not warc.read(one).first().ok
+    os.remove(tmp_path / "d.warc.gz")
+    assert [(r.ok, r.payload) for r in warc.read(one.union(one)).collect()] == [(False, None)] * 2
+
+
+def test_warc_records_without_a_digest_are_told_apart(spark, tmp_path):
+    whole = b"".join(gzip.compress(warc.record(f"urn:page:{k}", "u", p, digest=False)) for k, p in enumerate([b"one", b"two", b"one"]))
+    (tmp_path / "a.warc.gz").write_bytes(whole + gzip.compress(warc.record("urn:page:9", "u", b"two")))
+    index = warc.index(spark.createDataFrame([(str(tmp_path / "a.warc.gz"),)], "file string"))
+    rows = warc.read(warc.first_of_digest(index)).collect()
+    assert {(r.record_id, bytes(r.payload), r.ok) for r in rows} == {("urn:page:0", b"one", True), ("urn:page:1", b"two", True)}
+
+
+def test_warc_index_is_written_once_and_read(spark, tmp_path, awkward_pages):
+    files = warc.write(awkward_pages)
+    index = warc.index(files, f"file://{tmp_path}/index")
+    for r in files.collect():
+        os.rename(r.file, f"{r.file}.away")
+    assert index.count() == 8 and spark.read.parquet(f"{tmp_path}/index").count() == 8
+    assert {r.ok for r in warc.read(index).collect()} == {False}
 
 
 # Registered queries and the pipeline
@@ -282,7 +405,7 @@ def test_queries_equal_their_sql(spark, sf):
 
 def test_pipeline_against_its_stages_by_hand(spark, sf):
     import corpus_pipeline as p
-    from test_text_operators import brute_clean, brute_near, brute_removed, groups
+    from test_text_operators import brute_clean, brute_kept, brute_removed
 
     import re
 
@@ -298,8 +421,7 @@ def test_pipeline_against_its_stages_by_hand(spark, sf):
         assert state[name].columns == docs.columns
     texts = {n: {r.doc_id: r.text for r in state[n].collect()} for n in state if n != "pack"}
     assert len(texts["language"]) >= 0.99 * len(raw)
-    near, mutual = brute_near(texts["language"])
-    assert len(texts["near_dedup"]) == len(texts["language"]) - sum(len(g) - 1 for g in groups(near))
+    assert set(texts["near_dedup"]) == brute_kept(texts["language"])
     gone = brute_removed(sorted(texts["near_dedup"].items()), 50)
     for d, t in texts["near_dedup"].items():
         assert texts["suffix_dedup"].get(d, "").split() == [w for k, w in enumerate(t.split()) if k not in gone.get(d, ())]
