@@ -151,6 +151,6 @@ ORACLE = rf"""WITH a AS (SELECT page_id, url, regexp_extract(trim(url), '(?s)^(?
  q AS (SELECT page_id, url, rest, CASE WHEN regexp_matches(net, ':[0-9]*$') THEN list_last(string_split(net, ':')) END AS port, regexp_replace(net, ':[0-9]*$', '') AS host FROM n),
  p AS (SELECT page_id, url, rtrim(host, '.') AS host, rtrim(concat(rtrim(host, '.'), CASE WHEN port NOT IN ('', '80', '443') THEN concat(':', port) END, CASE WHEN rest[1] = '?' THEN '/' END, rest), '/') AS c FROM q),
  e AS (SELECT DISTINCT entry FROM (SELECT c AS entry FROM p WHERE page_id % {URL_MOD} = 7 UNION ALL SELECT host FROM p WHERE page_id % {HOST_MOD} = 5) WHERE entry <> ''),
- h AS (SELECT page_id, c, entry, CASE WHEN entry = c THEN 1000000 ELSE length(entry) END AS o FROM p, e WHERE entry = c OR entry = host OR ends_with(host, '.' || entry)),
+ h AS (SELECT page_id, c, entry, CASE WHEN entry = c THEN 1000000 ELSE length(entry) END AS o FROM p, e WHERE entry = c OR entry = host OR (length(host) <= {LONGEST} AND ends_with(host, '.' || entry))),
  m AS (SELECT page_id, arg_max(entry, o) AS matched FROM h GROUP BY page_id)
 SELECT p.page_id, url, matched IS NOT NULL AS blocked, matched FROM p LEFT JOIN m ON p.page_id = m.page_id"""
