@@ -36,6 +36,7 @@ def parser() -> argparse.ArgumentParser:
     x.add_argument("-B", "--buffsize", type=int, default=100_000)
     x.add_argument("--apparent-size", action="store_true")
     x.add_argument("-k", "--block-size")
+    x.add_argument("-v", "--verbose", action="store_true", help="a line for each partition")
     x.add_argument("-p", "--partition", type=lambda s: [y.strip() for y in s.split(",") if y.strip()])
     x = sub.add_parser("find", parents=[query])
     x.add_argument("-f", "--format", default="path")
@@ -44,6 +45,7 @@ def parser() -> argparse.ArgumentParser:
     x.add_argument("--top", type=int)
     x = sub.add_parser("view", parents=[query])
     x.add_argument("-s", "--sort", type=SortMode.parse, default=SortMode.NAME)
+    x.add_argument("-t", "--tree", action="store_true", help="a column for every level")
     x.add_argument("path", nargs="*", help="names to enter, one level each")
     x = sub.add_parser("rm", parents=[query])
     x.add_argument("-l", "--limit", type=int)
@@ -66,7 +68,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, now:
     now = int(time.time()) if now is None else now
     spark = spark or SparkSession.builder.appName("fsaudit").getOrCreate()
     if a.tool == "index":
-        print(index_tree(spark, a.dir, a.outdir, SizeMode.choose(a.apparent_size, a.block_size), a.partition, a.buffsize, tasks=max(1, a.jobs) * 64))
+        stats = index_tree(spark, a.dir, a.outdir, SizeMode.choose(a.apparent_size, a.block_size), a.partition, a.buffsize, tasks=max(1, a.jobs) * 64)
+        for line in stats.progress() if a.verbose else ():
+            print(line)
+        print(stats)
         return 0
     index = read_index(spark, a.index, getattr(a, "partition", None))
     if a.tool == "report":
@@ -82,7 +87,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, now:
         e = Explorer(index, spec, a.sort)
         for name in [*([a.partition] if a.partition else []), *a.path]:
             e = e.enter(name)
-        out = render_listing(e.listing(), now)
+        e = e.toggled() if a.tree else e
+        out = [line for title, listing in e.view() for line in [*([f"{title}:"] if a.tree else []), *render_listing(listing, now)]]
     for line in out:
         print(line)
     return 0

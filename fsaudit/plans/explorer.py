@@ -24,11 +24,21 @@ class Explorer:
     root: str | None = None
     path: str | None = None
     selected: int = 0
+    #: "list" or "tree": one listing, or a column for every level down to here.
+    mode: str = "list"
+    #: The sort mode being chosen, if one is.
+    pending: SortMode | None = None
 
-    def listing(self) -> DataFrame:
+    def listing(self, parent: bool = False) -> DataFrame:
+        """The entries here; with ``parent``, below a partition, the row ".." first, as a list shows it."""
         if self.partition is None:
             return rollup.partition_listing(self.index, self.spec, self.sort)
-        return rollup.directory_listing(self.index, f"{self.path}/", self.spec, self.partition, self.sort)
+        rows = rollup.directory_rollup(self.index, f"{self.path}/", self.spec, self.partition)
+        if not parent:
+            return rows.orderBy(*self.sort.directories())
+        above = rows.sparkSession.range(1).select(F.lit("..").alias("name"), F.lit("..").alias("path"), F.lit(True).alias("is_dir"), *[F.lit(0).cast("long").alias(c) for c in ("total_size", "file_count", "latest_atime")])
+        both = above.withColumn("level", F.lit(0)).unionByName(rows.withColumn("level", F.lit(1)))
+        return both.orderBy("level", *self.sort.directories()).drop("level")
 
     def enter(self, name: str) -> Explorer:
         """Into a partition, a directory, or up for "..". A file is not entered."""
@@ -62,6 +72,52 @@ class Explorer:
     def sorted(self, sort: SortMode) -> Explorer:
         return replace(self, sort=sort)
 
+    def toggled(self) -> Explorer:
+        """From list to tree or back, at the same place."""
+        return replace(self, mode="tree" if self.mode == "list" else "list")
+
+    def start_sort(self) -> Explorer:
+        return replace(self, pending=self.sort)
+
+    def next_sort(self) -> Explorer:
+        return replace(self, pending=(self.pending or self.sort).next())
+
+    def prev_sort(self) -> Explorer:
+        return replace(self, pending=(self.pending or self.sort).prev())
+
+    def confirm_sort(self) -> Explorer:
+        return replace(self, sort=self.pending or self.sort, pending=None)
+
+    def cancel_sort(self) -> Explorer:
+        return replace(self, pending=None)
+
+    def move(self, step: int, size: int) -> Explorer:
+        """The selection some rows on or back."""
+        return self.select(self.selected + step, size)
+
+    def first(self) -> Explorer:
+        return replace(self, selected=0)
+
+    def last(self, size: int) -> Explorer:
+        return self.select(size - 1, size)
+
+    def right(self, name: str) -> Explorer:
+        """In the tree: into the selected entry, if it can be entered."""
+        return self.enter(name)
+
+    def left(self) -> Explorer:
+        """In the tree: to the column before."""
+        return self.up()
+
+    def preview(self, name: str) -> DataFrame | None:
+        """What the column after the selected entry shows; nothing for a file."""
+        at = self.enter(name)
+        return None if at == self else at.listing()
+
+    def view(self) -> list[tuple[str, DataFrame]]:
+        """(title, listing) of what the mode shows."""
+        return self.columns() if self.mode == "tree" else [(self.path or "partitions", self.listing(parent=True))]
+
     def select(self, k: int, size: int) -> Explorer:
         """The selection, held inside a listing of ``size`` rows."""
         return replace(self, selected=max(0, min(k, size - 1)))

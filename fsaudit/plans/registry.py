@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fsaudit.functions import paths, sizes
-from fsaudit.functions.filetype import file_type
+from fsaudit.functions.filetype import _MAGIC, file_type
 from fsaudit.operators import find, purge, report, rollup
 from fsaudit.operators.filters import FilterSpec
 from fsaudit.operators.sorting import SortMode
+from fsaudit.sources.index import read_index, read_root, replace_partitions, to_bare, write_index
+from fsaudit.sources.shared import own_folder
 from fsaudit.sources.views import NOW_E, NOW_L, TOPS, sql, view
 from fsaudit.schema import DAY, ROOT_PARTITION
 
@@ -81,7 +83,23 @@ _add("directory_rollup_large", "L", lambda v: rollup.directory_rollup(v, "/fs/",
 _add("web_tree_rollup", "W", lambda v: rollup.directory_rollup(v, "/web/"), _rollup_sql("/web/"))
 _add("directory_sorted", "W", lambda v: rollup.directory_rollup(v, "/web/").withColumn("rank", F.row_number().over(Window.orderBy(*SortMode.SIZE_DESC.directories())).cast("long")),
      f"SELECT *, row_number() OVER (ORDER BY total_size DESC, name) AS rank FROM ({_rollup_sql('/web/')})")
-_add("partition_root", "D", lambda v: rollup.partition_root(v, "src1"), "SELECT '/docs/src1' AS root FROM {V} WHERE partition = 'src1' HAVING count(*) > 0 AND count(DISTINCT split_part(path, '/', 4)) > 1")
+_add("directory_sorted_by_name", "D", lambda v: rollup.directory_rollup(v, "/docs/").withColumn("rank", F.row_number().over(Window.orderBy(*SortMode.NAME.directories())).cast("long")),
+     f"SELECT *, row_number() OVER (ORDER BY is_dir DESC, name) AS rank FROM ({_rollup_sql('/docs/')})")
+
+
+def _listed(mode: SortMode) -> Callable[[DataFrame], DataFrame]:
+    # A listing is one level of a tree; partitions and loose files are ranked together.
+    return lambda v: rollup.partition_listing(v, sort=mode).withColumn("rank", F.row_number().over(Window.orderBy(*mode.directories(), "path")).cast("long"))
+
+
+for _mode, _order in (("name", "is_dir DESC, name, path"), ("size-desc", "total_size DESC, name, path"), ("age-asc", "latest_atime DESC, name, path")):
+    _add(f"partition_listing_sort_{_mode.replace('-', '_')}", "D", _listed(SortMode(_mode)), f"SELECT *, row_number() OVER (ORDER BY {_order}) AS rank FROM (SELECT partition AS name, partition AS path, true AS is_dir, {_SUMS} FROM {{V}} WHERE partition <> '__root__' GROUP BY partition UNION ALL {_ROOT})")
+#: The deepest directory that is the same for all files, depth by depth.
+_ROOT_SQL = """WITH p AS (SELECT string_split(path, '/') AS w FROM {V} WHERE partition = 'src1'),
+ d AS (SELECT k, array_to_string(list_slice(w, 1, k), '/') AS root FROM (SELECT w, unnest(generate_series(1, len(w) - 1)) AS k FROM p)),
+ g AS (SELECT k, min(root) AS root FROM d GROUP BY k HAVING count(DISTINCT root) = 1 AND count(*) = (SELECT count(*) FROM p))
+SELECT root FROM g ORDER BY k DESC LIMIT 1"""
+_add("partition_root", "D", lambda v: rollup.partition_root(v, "src1"), _ROOT_SQL)
 _add("partition_root_shortest", "D", lambda v: rollup.partition_root(v, "src1", "shortest"), "SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS root FROM {V} WHERE partition = 'src1' ORDER BY length(path), path LIMIT 1")
 
 _STALE = NOW_L - 1500 * DAY
@@ -136,6 +154,79 @@ def detect_file_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _QUERIES["detect_file_type"] = detect_file_type
+_BYTES = "hex(encode(substr(head, 1, 8192)))"
+_BY_MAGIC = " ".join(f"WHEN substr({_BYTES}, {2 * at + 1}, {2 * len(magic)}) = '{magic.hex().upper()}' THEN '{mime} ({ext})'" for at, magic, mime, ext in _MAGIC)
+_TRIMMED = "regexp_replace(head, '^\\s+', '')"
+_SQL["detect_file_type"] = f"""WITH f AS (SELECT concat('/web/', page_id, '.html') AS path, html AS head FROM pages UNION ALL SELECT concat('/docs/', doc_id, '.txt'), text FROM documents),
+ t AS (SELECT path, CASE WHEN head IS NULL OR head = '' THEN '(unreadable)' {_BY_MAGIC} WHEN regexp_matches({_TRIMMED}, '^[{{\\[]') THEN 'JSON text, UTF-8' WHEN starts_with({_TRIMMED}, '<?xml') OR starts_with({_TRIMMED}, '<!DOCTYPE') THEN 'XML text, UTF-8'
+  WHEN ends_with(path, '.html') THEN 'HTML text, UTF-8' ELSE 'Plain text, UTF-8' END AS description FROM f)
+SELECT path, description, NOT (description = '(unreadable)' OR contains(description, '(') ) AS is_text FROM t"""
+
+#: (bytes before a page in hex, extension, description, is text) by page_id modulo their number.
+_HEADS = [
+    ("89504E470D0A1A0A", "html", "image/png (png)", False), ("1F8B08", "txt", "application/gzip (gz)", False), ("7F454C4602010100" + "00" * 8 + "02003E00", "so", "ELF 64-bit LSB executable, x86-64", False),
+    ("7F454C4601020100" + "00" * 8 + "00010008", "o", "ELF 32-bit MSB relocatable, MIPS", False), ("CFFAEDFE070000010300000006000000", "dylib", "Mach-O 64-bit dylib, x86-64", False), ("CAFEBABE00000002", "class", "Mach-O universal binary", False),
+    (b"#!/usr/bin/env python3\n".hex(), "", "Python script, UTF-8 text", True), (b"#! /bin/zsh -f\n".hex(), "txt", "Zsh script, UTF-8 text", True), (b"#!/opt/odd\n".hex(), "txt", "Script (#!odd), UTF-8 text", True), (b" \n[1, ".hex(), "csv", "JSON text, UTF-8", True),
+    (b"<?xml version='1.0'?>".hex(), "csv", "XML text, UTF-8", True), ("FEFF00FF", "txt", "application/octet-stream (binary data)", False), (b"x = 1\n".hex(), "PY", "Python source, UTF-8", True), (b"x\n".hex(), "hpp", "C++ header, UTF-8", True),
+    (b"x\n".hex(), "ps1", "PowerShell script, UTF-8", True), (b"x\n".hex(), "rst", "reStructuredText, UTF-8", True), (b"x\n".hex(), "unknown", "text/plain; UTF-8", True), (b"x\n".hex(), "", "text/plain; UTF-8", True),
+]
+
+
+def detect_made_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules one by one: pages with bytes before them that make them look like other files."""
+    k = F.col("page_id") % len(_HEADS)
+    one = lambda i: F.element_at(F.array(*[F.lit(h[i]) for h in _HEADS]), (k + 1).cast("int"))
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    name = F.concat(F.lit("/web/"), F.col("page_id").cast("string"), F.when(one(1) != "", F.concat(F.lit("."), one(1))).otherwise(""))
+    made = pages.select(name.alias("path"), F.concat(F.unhex(one(0)), F.substr("html", F.lit(1), F.lit(8192)).cast("binary")).alias("head"))
+    return made.withColumn("type", file_type("head", "path")).select("path", "type.description", "type.is_text")
+
+
+_QUERIES["detect_made_types"] = detect_made_types
+_LIST = lambda i: "[" + ", ".join(f"'{h[i]}'" for h in _HEADS) + "]"
+_SQL["detect_made_types"] = f"""SELECT concat('/web/', page_id, CASE WHEN e = '' THEN '' ELSE concat('.', e) END) AS path, {_LIST(2)}[k] AS description, [{", ".join(str(h[3]).lower() for h in _HEADS)}][k] AS is_text
+FROM (SELECT page_id, k, {_LIST(1)}[k] AS e FROM (SELECT page_id, CAST(page_id % {len(_HEADS)} AS INTEGER) + 1 AS k FROM pages))"""
+
+# Over an index that was written, not over a computed view: what the reader prunes and pushes down counts here.
+_written: dict[tuple, str] = {}
+
+
+def _indexed(spark: SparkSession, sf_dir: str, on: str, kind: str = "native") -> str:
+    """The index of a view, written once in a session."""
+    key = (spark.sparkContext.applicationId, sf_dir, on, kind)
+    if key not in _written:
+        path = own_folder(spark, f"index-{on}")
+        v = view(spark, sf_dir, on)
+        write_index(v, path, rows_per_file=5_000, full=True)
+        if kind == "bare":
+            to_bare(spark, path)
+        elif kind == "again":
+            # Of these partitions two keep some of their files and one keeps none.
+            left = v.filter(F.col("partition").isin("u1", "u3") & (F.col("size") % 2 == 0))
+            replace_partitions(left.withColumn("size", F.col("size") + 1), path, ["u1", "u2", "u3"])
+        _written[key] = path
+    return _written[key]
+
+
+def _add_indexed(name: str, on: str, build: Callable[[SparkSession, str], DataFrame], oracle: str, kind: str = "native") -> None:
+    _QUERIES[name] = lambda spark, sf_dir: build(spark, _indexed(spark, sf_dir, on, kind))
+    _SQL[name] = oracle.replace("{V}", f"{sql(on)} v")
+
+
+_ALL = "SELECT path, size, atime, partition FROM {V}"
+_add_indexed("index_scan", "D", lambda spark, path: read_index(spark, path), _ALL)
+_add_indexed("index_scan_bare", "D", lambda spark, path: read_index(spark, path), _ALL, "bare")
+_add_indexed("index_partition", "E", lambda spark, path: read_index(spark, path, "u7"), _ALL + " WHERE partition = 'u7'")
+_add_indexed("index_partition_bare", "D", lambda spark, path: read_index(spark, path, "src1"), _ALL + " WHERE partition = 'src1'", "bare")
+_add_indexed("index_root", "D", lambda spark, path: read_root(spark, path), _ALL + " WHERE partition = '__root__'")
+_add_indexed("index_file_partition", "D", lambda spark, path: read_index(spark, path).groupBy(F.replace(paths.partition_of_file(F.col("_metadata.file_path")), F.lit("partition=")).alias("partition")).agg(F.count("*").alias("file_count")),
+             "SELECT partition, count(*) AS file_count FROM {V} GROUP BY partition")
+_add_indexed("index_replaced", "E", lambda spark, path: read_index(spark, path), "SELECT path, CASE WHEN partition IN ('u1', 'u3') THEN size + 1 ELSE size END AS size, atime, partition FROM {V} WHERE partition NOT IN ('u1', 'u2', 'u3') OR (partition <> 'u2' AND size % 2 = 0)", "again")
+_add_indexed("index_find_combined", "L", lambda spark, path: find.find(read_index(spark, path), _COMBINED, fmt="csv"), f"SELECT path, size, atime FROM {{V}} WHERE {_COMBINED_SQL}")
+_add_indexed("index_find_suffix", "L", lambda spark, path: find.find(read_index(spark, path), FilterSpec(pattern=r"\.py$", min_size=9_000_000), "s7"), "SELECT path FROM {V} WHERE partition = 's7' AND size >= 9000000 AND ends_with(path, '.py')")
+_add_indexed("index_count", "L", lambda spark, path: find.count(read_index(spark, path)), "SELECT count(*) AS file_count FROM {V}")
+_add_indexed("index_directory_rollup", "L", lambda spark, path: rollup.directory_rollup(read_index(spark, path), "/fs/s7/", partition="s7"), _rollup_sql("/fs/s7/"))
+_add_indexed("index_stale_report", "L", lambda spark, path: report.stale_report(read_index(spark, path), NOW_L, 1500), f"SELECT partition, count(*) AS file_count, CAST(coalesce(sum(size), 0) AS BIGINT) AS total_size FROM {{V}} WHERE atime < {_STALE} GROUP BY partition")
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

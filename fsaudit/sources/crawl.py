@@ -1,7 +1,7 @@
 """The live file system as a Spark data source, and the crawl that makes an index of it.
 
-The unit of work is a directory, with what is below it or only its own files. Top-level directories are split ``split_depth`` levels further down, so that one
-large partition doesn't hold up the crawl in a single task; units are dealt to at most ``tasks`` tasks. Executors must see the file system.
+The unit of work is a directory, with what is below it or only its own files. Directories are split level by level, listed by ``THREADS`` threads at once, until there are ``UNITS`` units for
+each of the ``tasks`` tasks or nothing is left to split, so that one large partition, however deep, is shared by all tasks; ``split_depth`` fixes the levels instead. Executors must see the file system.
 """
 
 from __future__ import annotations
@@ -9,21 +9,23 @@ from __future__ import annotations
 import os
 import time
 from collections.abc import Iterator
-from dataclasses import dataclass
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from fsaudit.functions.paths import safe_text
-from fsaudit.functions.sizes import SizeMode, format_bytes
+from fsaudit.functions.sizes import SizeMode, format_bytes, format_speed
 from fsaudit.schema import ROOT_PARTITION
-from fsaudit.sources.index import ROWS_PER_FILE, write_index
+from fsaudit.sources.index import ROWS_PER_FILE, partition_names, read_index, replace_partitions
 
 NAME = "fsmeta"
 _SCHEMA = pa.schema([("path", pa.string()), ("disk", pa.int64()), ("length", pa.int64()), ("atime", pa.int64()), ("partition", pa.string())])
 _ROWS = 10_000
+THREADS, UNITS = 64, 4
 
 
 @dataclass
@@ -55,7 +57,7 @@ class CrawlReader(DataSourceReader):
         self.only = [x.strip() for x in options.get("partitions", "").split(",") if x.strip()]
         self.root = options.get("root", "true").lower() == "true"
         self.skip = os.fsencode(os.path.realpath(options["skip"])) if options.get("skip") else b""
-        self.depth, self.tasks = int(options.get("split_depth", 1)), int(options.get("tasks", 1024))
+        self.depth, self.tasks = int(options.get("split_depth", -1)), int(options.get("tasks", 1024))
 
     def partitions(self) -> list[WorkItem]:
         if not os.path.isdir(self.top):
@@ -69,15 +71,14 @@ class CrawlReader(DataSourceReader):
         if not dirs and not loose:
             raise ValueError(f"No partitions found in {safe_text(self.top)}")
         units: list[tuple[bytes, str, bool]] = [(self.top, ROOT_PARTITION, False)] if loose and self.root else []
-        for name in sorted(self.only or dirs):
-            level = [dirs[name]]
-            for _ in range(self.depth):
-                below = []
-                for d in level:
-                    units.append((d, name, False))
-                    below += [e.path for e in _entries(d) if _is_dir(e) and e.path != self.skip]
-                level = below
-            units += [(d, name, True) for d in level]
+        level, depth = [(dirs[name], name) for name in sorted(self.only or dirs)], 0
+        with ThreadPoolExecutor(THREADS) as pool:
+            while level and (depth < self.depth if self.depth >= 0 else len(units) + len(level) < UNITS * self.tasks):
+                below = pool.map(lambda d: [e.path for e in _entries(d[0]) if _is_dir(e) and e.path != self.skip], level)
+                units += [(d, name, False) for d, name in level]
+                level = [(x, name) for (_, name), xs in zip(level, below) for x in xs]
+                depth += 1
+        units += [(d, name, True) for d, name in level]
         n = max(1, min(self.tasks, len(units)))
         return [WorkItem(units[k::n]) for k in range(n)]
 
@@ -112,7 +113,7 @@ class CrawlReader(DataSourceReader):
 
 
 class CrawlSource(DataSource):
-    """Options: path, partitions (a,b), root (whether loose files are read), skip (a directory that is left out), split_depth, tasks."""
+    """Options: path, partitions (a,b), root (whether loose files are read), skip (a directory that is left out), split_depth (by need if not given), tasks."""
 
     @classmethod
     def name(cls) -> str:
@@ -142,29 +143,35 @@ class CrawlStats:
     bytes: int
     seconds: float
     pruned: int
+    #: Files and bytes of each partition that was crawled and has any, and the chunks pruned by partition.
+    by_partition: DataFrame = field(repr=False)
+    pruned_by: dict[str, int] = field(repr=False, default_factory=dict)
 
     def __str__(self) -> str:
         tail = f", pruned {self.pruned} stale" if self.pruned else ""
         return f"Completed {self.files} files ({format_bytes(self.bytes)}) in {self.seconds:.1f} s{tail}"
 
-
-def _chunks(spark: SparkSession, out: str) -> dict[str, int]:
-    """Parquet files by partition directory."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(f"{out.rstrip('/')}/partition=*/*.parquet")
-    n: dict[str, int] = {}
-    for s in p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p) or []:
-        d = s.getPath().getParent().getName()
-        n[d] = n.get(d, 0) + 1
-    return n
+    def progress(self) -> Iterator[str]:
+        """A line for each partition, and the speed of the whole crawl."""
+        gone = dict(self.pruned_by)
+        tail = lambda k: f", pruned {k} stale" if k else ""
+        for r in self.by_partition.orderBy("partition").toLocalIterator():
+            yield f"Finished {r.partition} ({r.files} files, {format_bytes(r.bytes)}{tail(gone.pop(r.partition, 0))})"
+        for name in sorted(gone):
+            yield f"Finished {name} (0 files, 0 B{tail(gone[name])})"
+        yield format_speed(self.files / max(self.seconds, 1e-9))
 
 
 def index_tree(spark: SparkSession, top: str, out: str, mode: SizeMode = SizeMode(), partitions: list[str] | None = None, rows_per_file: int = ROWS_PER_FILE, **options: object) -> CrawlStats:
-    """Crawl a directory into an index. Given partitions, only they (and loose files, unless root=False) are replaced."""
-    began, before, seen = time.time(), _chunks(spark, out), Observation("crawl")
-    df = crawl(spark, top, mode, partitions, skip=out, **options)
-    df = df.observe(seen, F.count("*").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
-    write_index(df, out, rows_per_file, full=False)
-    after = _chunks(spark, out)
-    got = seen.get
-    return CrawlStats(got["files"], got["bytes"], time.time() - began, sum(max(0, n - after.get(d, 0)) for d, n in before.items()))
+    """Crawl a directory into an index. Given partitions, only they (and loose files, unless root=False) are replaced. What was crawled and has no files any more leaves the index."""
+    began, root = time.time(), str(options.get("root", True)).lower() == "true"
+    loose = [ROOT_PARTITION] if root else []
+    # Without a choice all partitions of the index were crawled, those whose directory is gone among them.
+    crawled = [*(partition_names(spark, out) - {ROOT_PARTITION} if partitions is None else partitions), *loose]
+    pruned = replace_partitions(crawl(spark, top, mode, partitions, skip=out, **options), out, crawled, rows_per_file)
+    # What was crawled and is there now, from the size column alone.
+    index = read_index(spark, out, layout="native")
+    fresh = index.filter(F.col("partition").isin(crawled)) if partitions is not None else index if root else index.filter(F.col("partition") != ROOT_PARTITION)
+    total = fresh.agg(F.count("*").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
+    figures = fresh.groupBy("partition").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
+    return CrawlStats(total.files, total.bytes, time.time() - began, sum(pruned.values()), figures, pruned)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,12 +17,58 @@ ROWS_PER_FILE = 100_000
 def write_index(files: DataFrame, path: str, rows_per_file: int = ROWS_PER_FILE, full: bool = False) -> None:
     """Write (path, size, atime, partition). Partitions that occur are replaced, others stay; ``full`` replaces the whole index.
 
-    Files become visible by the commit of the job; rows are placed by partition and sorted by path inside it, which is what makes paths compress and prefixes prune."""
-    placed = files.select("path", "size", "atime", "partition").repartition("partition", F.pmod(F.xxhash64("path"), F.lit(8))).sortWithinPartitions("partition", "path")
+    Files become visible by the commit of the job; rows are placed by partition, a large one in as many tasks as its bytes ask for and small ones together in one, as adaptive execution sees them in the
+    shuffle. They are sorted by path inside it, which is what makes paths compress and prefixes prune."""
+    placed = files.select("path", "size", "atime", "partition").hint("rebalance", "partition").sortWithinPartitions("partition", "path")
     w = placed.write.mode("overwrite").option("partitionOverwriteMode", "static" if full else "dynamic").option("maxRecordsPerFile", rows_per_file).option("compression", "snappy")
     w.partitionBy("partition").parquet(path)
 
 
+def _chunks(spark: SparkSession, path: str) -> dict[str, set[str]]:
+    """Parquet files by partition; one whose directory is empty has none."""
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(path.rstrip("/"))
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found: dict[str, set[str]] = {}
+    for d in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/partition=*")) or []:
+        name = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName(d.getPath().getName().partition("=")[2])
+        found[name] = {f.getPath().getName() for f in fs.listStatus(d.getPath()) if f.getPath().getName().endswith(".parquet")}
+    return found
+
+
+def partition_names(spark: SparkSession, path: str) -> set[str]:
+    """The partitions that a native index has directories of."""
+    return set(_chunks(spark, path))
+
+
+def replace_partitions(files: DataFrame, path: str, partitions: Iterable[str], rows_per_file: int = ROWS_PER_FILE) -> dict[str, int]:
+    """Write files into an index; partitions of those named that have none any more are deleted. How many chunks each partition has less."""
+    spark = files.sparkSession
+    before = _chunks(spark, path)
+    write_index(files, path, rows_per_file)
+    after, pruned = _chunks(spark, path), {}
+    jvm = spark.sparkContext._jvm
+    escape = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    for name in before:
+        # New files have new names: a partition with its old ones wasn't written.
+        left = after.get(name, set())
+        if left == before[name] and name in set(partitions):
+            p = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/partition={escape(name)}")
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            left = set()
+        if len(left) < len(before[name]):
+            pruned[name] = len(before[name]) - len(left)
+    return pruned
+
+
+def to_bare(spark: SparkSession, path: str) -> None:
+    """Turn a native index into the bare layout, directory by directory."""
+    jvm = spark.sparkContext._jvm
+    for name in partition_names(spark, path):
+        old, new = (jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{x}") for x in (f"partition={jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(name)}", name))
+        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).rename(old, new)
+
+
 def escape_glob(name: str) -> str:
     return "".join(f"\\{c}" if c in "\\*?[]{}" else c for c in name)
 

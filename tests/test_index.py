@@ -39,8 +39,8 @@ def totals(df):
     ({"part1/a.txt": 1000, "part2/b.txt": 2000, "part2/c.txt": 3000, ".hidden/.x": 1}, (4, 6001, {"part1", "part2", ".hidden"})),
 ])
 def test_crawl(spark, tmp_path, files, want):
-    for depth in (0, 1, 2):
-        assert totals(crawl(spark, tree(tmp_path / "t", files), APPARENT, split_depth=depth)) == want
+    for options in ({"split_depth": 0}, {"split_depth": 2}, {}, {"tasks": 1}):
+        assert totals(crawl(spark, tree(tmp_path / "t", files), APPARENT, **options)) == want
 
 
 def test_crawl_rules(spark, tmp_path):
@@ -77,6 +77,36 @@ def test_index_round_trip_and_update(spark, tmp_path):
     assert totals(read_index(spark, out)) == (1, 1, {"z"})
 
 
+def test_partitions_that_were_emptied_leave_the_index(spark, tmp_path):
+    top, out = tree(tmp_path / "t", {"a/x": 1, "b/x": 2, "c d/x": 3, "c d/y": 4, "e/x": 6, "loose": 5}), str(tmp_path / "index")
+    index_tree(spark, top, out, APPARENT)
+    os.remove(top + "/a/x")
+    os.remove(top + "/c d/x")
+    os.remove(top + "/c d/y")
+    # Only what was asked for is replaced.
+    stats = index_tree(spark, top, out, APPARENT, ["c d"])
+    assert stats.pruned == 1 and totals(read_index(spark, out)) == (4, 14, {"a", "b", "e", "__root__"})
+    assert list(stats.progress())[:2] == ["Finished __root__ (1 files, 5 B)", "Finished c d (0 files, 0 B, pruned 1 stale)"]
+    os.remove(top + "/loose")
+    shutil.rmtree(top + "/e")
+    stats = index_tree(spark, top, out, APPARENT, root=False)
+    assert (stats.files, stats.pruned) == (1, 2) and totals(read_index(spark, out)) == (2, 7, {"b", "__root__"})
+    stats = index_tree(spark, top, out, APPARENT)
+    assert stats.pruned == 1 and totals(read_index(spark, out)) == (1, 2, {"b"}) and "pruned 1 stale" in str(stats)
+    os.remove(top + "/b/x")
+    assert index_tree(spark, top, out, APPARENT).pruned == 1 and not [d for d in os.listdir(out) if d.startswith("partition=")]
+
+
+def test_one_large_partition_is_shared_by_tasks(tmp_path):
+    from fsaudit.sources.crawl import CrawlReader
+
+    top = tree(tmp_path / "t", {f"big/{a}/{b}/{c}/f": 1 for a in range(4) for b in range(4) for c in range(4)} | {"small/x": 1})
+    items = CrawlReader({"path": top, "tasks": "8"}).partitions()
+    walked = [sum(down for _, _, down in item.units) for item in items]
+    assert len(items) == 8 and sum(walked) >= 16 and max(walked) <= 8
+    assert len({p for item in items for p, _, _ in item.units}) == sum(len(item.units) for item in items)
+
+
 def test_index_inside_the_tree_is_left_out(spark, tmp_path):
     top = tree(tmp_path / "t", {"a/x": 1})
     for _ in range(2):
@@ -153,6 +183,15 @@ def test_explorer(index):
     assert render_listing(a.sorted(SortMode.SIZE_DESC).listing(), NOW)[0] == "sub/\t2.98 KiB\t2 files\ttoday"
     with pytest.raises(ValueError):
         e.enter("nope")
+    assert [r.name for r in sub.listing(parent=True).collect()] == ["..", "x", 'two, "q".py'] and [r.name for r in e.listing(parent=True).collect()] == ["a", "b", "loose"]
+    # List and tree, at the same place.
+    t = sub.toggled()
+    assert (t.mode, t.path, t.toggled()) == ("tree", sub.path, sub) and [n for n, _ in t.view()] == ["partitions", "/t/a", "/t/a/sub"] and [n for n, _ in sub.view()] == ["/t/a/sub"]
+    assert t.left() == a.toggled() and a.toggled().right("sub") == t and [r.name for r in t.preview("x").collect()] == ["three.py"] and t.preview('two, "q".py') is None
+    assert t.move(5, 2).selected == 1 and t.move(-1, 2).selected == 0 and t.last(2).selected == 1 and t.last(2).first().selected == 0
+    # A sort mode is chosen, then confirmed or not.
+    chosen = a.start_sort().next_sort().next_sort().prev_sort()
+    assert (chosen.sort, chosen.pending) == (SortMode.NAME, SortMode.SIZE_DESC) and chosen.confirm_sort() == a.sorted(SortMode.SIZE_DESC) and chosen.cancel_sort() == a
 
 
 def test_reports(index, tmp_path):
@@ -219,6 +258,8 @@ def test_command_line(spark, tmp_path, capsys):
     run = lambda *a: (main([*a], spark, NOW), capsys.readouterr().out.splitlines())[1]
     assert run("index", top, "-o", out, "--apparent-size")[0].startswith("Completed 3 files (2.01 KiB)")
     assert run("find", "-i", out, "-p", "log$") == [f"{top}/a/x.log"] and run("find", "-i", out, "-c") == ["3"] and run("find", "-i", out, "-u", "b", "-f", "size") == [f"10\t{top}/b/y"]
-    assert run("view", "-i", out, "-s", "size")[0] == "a/\t2.00 KiB\t1 file\t3 months ago" and run("view", "-i", out, "a")[0].startswith("x.log\t")
+    assert run("view", "-i", out, "-s", "size")[0] == "a/\t2.00 KiB\t1 file\t3 months ago" and [x.split("\t")[0] for x in run("view", "-i", out, "a")] == ["../", "x.log"]
+    assert [x.split("\t")[0] for x in run("view", "-i", out, "-t", "a")] == ["partitions:", "a/", "b/", "z", f"{top}/a:", "x.log"]
+    assert run("index", top, "-o", out, "--apparent-size", "-v")[:3] == ["Finished __root__ (1 files, 1 B)", "Finished a (1 files, 2.00 KiB)", "Finished b (1 files, 10 B)"]
     assert run("report", "-i", out, "-o", str(tmp_path / "r")) == [str(tmp_path / "r" / "a.txt")]
     assert run("rm", "-i", out, "--older-than", "30", "-n")[-1] == "1 file(s) would be deleted." and run("rm", "-i", out, "--older-than", "30", "-f")[-1] == "Deleted: 1"
