@@ -431,3 +431,38 @@ def test_pipeline_against_its_stages_by_hand(spark, sf):
     tokens = Counter(d for r in state["pack"].collect() for d, n in zip(r.doc_ids, r.lengths) for _ in range(n))
     assert tokens == {d: len(t.split()) for d, t in texts["decontaminate"].items() if t.split()}
     assert Counter(map(str, p.run(spark, sf).collect())) == Counter(map(str, state["pack"].collect()))
+
+
+def test_pipeline_awkward(spark, tmp_path):
+    """Nulls in every column, empty and very long texts, ties, repeated rows, names that the stages use inside; and an empty table."""
+    import corpus_pipeline as p
+    from test_text_operators import DOCS, EXTRA, words
+
+    body, bench, r = " ".join(words(120, 1)), " ".join(words(40, 900)), (7, "x", 1, "n", "r", "s", 0.5, 3, 9, "l")
+    long = " ".join(words(60_000, 2, 10**6))
+    texts = [(1, body, "en", "s"), (1, body, "en", "s"), (2, body, None, None), (None, body + " end", "en", "s"), (None, None, None, None), (3, None, "en", "s"), (4, "", "en", "s"), (5, " \n\t ", "en", "s"), (6, "!!! ---", "en", "s"), (7, long, "en", "s")]
+    texts += [(8, long[-4_000:] + " " + " ".join(words(300, 3)), "de", "s"), (9, bench, "en", "s"), (10, " ".join(words(200, 5)) + " " + bench, "en", "s"), (11, "one", "en", "s")]
+    rows = [(i, t, lang, s, None if t is None else len(t), *(r if i else [None] * 10)) for i, t, lang, s in texts]
+    docs = spark.createDataFrame(rows, DOCS + EXTRA)
+    for name, some in (("full", docs), ("none", docs.limit(0))):
+        d = f"{tmp_path}/{name}"
+        some.write.parquet(f"{d}/documents.parquet")
+        spark.createDataFrame([(1, bench), (None, "short but enough words here"), (None, None), (3, "")], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+        at = {}
+        docs_ = spark.read.parquet(f"{d}/documents.parquet")
+        for k, (stage, f) in enumerate(p.STAGES):
+            f(spark, docs_, d).write.parquet(f"{d}/{k}")
+            docs_ = at[stage] = spark.read.parquet(f"{d}/{k}")
+            assert stage == "pack" or docs_.columns == docs.columns
+        if name == "none":
+            assert [x.count() for x in at.values()] == [0] * 5
+            continue
+        ids = {k: Counter(x.doc_id for x in v.select("doc_id").collect()) for k, v in at.items() if k != "pack"}
+        # Texts without letters go; of the copies the largest stays, then the least doc_id; what repeats is cut; the document that is a benchmark item goes.
+        assert ids["language"] == {1: 2, 2: 1, None: 1, 7: 1, 8: 1, 9: 1, 10: 1, 11: 1}
+        assert ids["near_dedup"] == {None: 1, 7: 1, 8: 1, 9: 1, 10: 1, 11: 1}
+        cut = {x.doc_id: (x.text, x.n_chars) for x in at["suffix_dedup"].collect()}
+        assert set(cut) == set(ids["near_dedup"]) and cut[8][0].split()[-300:] == words(300, 3) and len(cut[8][0].split()) < 310 and all(len(t) == n for t, n in cut.values())
+        assert ids["decontaminate"] == {None: 1, 7: 1, 8: 1, 10: 1, 11: 1}
+        left = {x.doc_id: len(x.text.split()) for x in at["decontaminate"].collect()}
+        assert left[10] == 200 and Counter(i for x in at["pack"].collect() for i, n in zip(x.doc_ids, x.lengths) for _ in range(n)) == left
