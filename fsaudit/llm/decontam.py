@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from fsaudit.llm import _frames, _text
 
 N, MIN_WORDS, DROP_SHARE, BROADCAST_BYTES = 13, 5, 0.5, 32 << 20
+#: Stands for a null doc_id.
+NULL = -(2**63)
 REPORT = "doc_id long, n_words long, n_hits long, n_covered long, items array<long>, action string, clean_text string"
 
 
@@ -135,7 +137,7 @@ def _table(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _joined_hits(docs: DataFrame, bench: DataFrame, n: int, min_words: int) -> DataFrame:
-    """The same hits by a shuffled join on n-gram hashes: doc_id, text, hits."""
+    """The same hits by a shuffled join on n-gram hashes: rid, doc (with ``NULL`` for a null doc_id), doc_id, text, hits."""
 
     def bench_grams(batches):
         for b in batches:
@@ -150,18 +152,19 @@ def _joined_hits(docs: DataFrame, bench: DataFrame, n: int, min_words: int) -> D
     def doc_grams(batches):
         for b in batches:
             data, offsets = _text.buffers(_text.lower(b["text"]))
-            rid = np.asarray(b["rid"])
+            rid, doc = np.asarray(b["rid"]), np.asarray(b["doc"])
             for i, j in _text.blocks(offsets):
                 w = _text.Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], "ALNUM")
                 h = w.hashes()
                 for s in sizes:
                     x, at = w.grams(h, s)
                     r = w.row[at]
-                    yield pa.RecordBatch.from_arrays([pa.array(rid[i:j][r]), pa.array((at - w.first[r]).astype(np.int32)), pa.array(np.full(len(x), s, np.int32)), pa.array((x ^ np.uint64(2**63)).view(np.int64))], names=["rid", "pos", "size", "gram"])
+                    yield pa.RecordBatch.from_arrays([pa.array(rid[i:j][r]), pa.array(doc[i:j][r]), pa.array((at - w.first[r]).astype(np.int32)), pa.array(np.full(len(x), s, np.int32)), pa.array((x ^ np.uint64(2**63)).view(np.int64))], names=["rid", "doc", "pos", "size", "gram"])
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _frames.rid("doc_id", "text").alias("rid"))
-    hits = own.select("rid", "text").mapInArrow(doc_grams, "rid long, pos int, size int, gram long").join(held, ["size", "gram"])
-    return own.join(hits.groupBy("rid").agg(F.collect_set(F.struct("pos", "size", "words", "item")).alias("hits")), "rid")
+    own = own.withColumn("doc", F.coalesce("doc_id", F.lit(NULL)))
+    hits = own.select("rid", "doc", "text").mapInArrow(doc_grams, "rid long, doc long, pos int, size int, gram long").join(held, ["size", "gram"])
+    return own.join(hits.groupBy("rid", "doc").agg(F.collect_set(F.struct("pos", "size", "words", "item")).alias("hits")), ["rid", "doc"])
 
 
 def _verified(text: str, hits: list[dict]) -> tuple[list, int]:
@@ -205,21 +208,23 @@ def clean(docs: DataFrame, bench: DataFrame, n: int = N, min_words: int = MIN_WO
     """The documents with the decisions taken: dropped ones gone, covered spans cut from ``text``, ``n_chars`` (if there) counted anew."""
     _frames.bounded_batches(docs.sparkSession)
     if not _small(bench, broadcast_bytes):
-        hits = _joined_hits(docs, bench, n, min_words).select("doc_id", "text", "hits")
+        hits = _joined_hits(docs, bench, n, min_words).select("rid", "doc", "text", "hits")
 
         def decide(batches):
             for b in batches:
-                out = {}
-                for d, t, hs in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), b["hits"].to_pylist()):
+                rows = []
+                for r, d, t, hs in zip(b["rid"].to_pylist(), b["doc"].to_pylist(), b["text"].to_pylist(), b["hits"].to_pylist()):
                     found, words = _verified(t, hs)
                     if found:
                         covered, drop = _judge(found, words, drop_share)
-                        out[d, t] = None if drop else _without(t, covered)
-                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in out], pa.int64()), pa.array([k[1] for k in out], pa.string()), pa.array(list(out.values()), pa.string())], names=["d", "t", "cleaned"])
-
-        rid, cleaned, hit = (_frames.fresh(docs, x) for x in ("__rid", "__cleaned", "__hit"))
-        done = hits.mapInArrow(decide, "d long, t string, cleaned string").select(F.xxhash64("d", "t").alias(rid), F.col("cleaned").alias(cleaned), F.lit(True).alias(hit)).dropDuplicates([rid])
-        out = docs.withColumn(rid, F.xxhash64(F.col("doc_id").cast("long"), "text")).join(done, rid, "left").filter(F.col(hit).isNull() | F.col(cleaned).isNotNull())
+                        rows.append((r, d, None if drop else _without(t, covered)))
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate([pa.int64(), pa.int64(), pa.string()])], names=["rid", "doc", "cleaned"])
+
+        rid, doc, cleaned, hit = (_frames.fresh(docs, x) for x in ("__rid", "__doc", "__cleaned", "__hit"))
+        done = hits.mapInArrow(decide, "rid long, doc long, cleaned string").select(F.col("rid").alias(rid), F.col("doc").alias(doc), F.col("cleaned").alias(cleaned), F.lit(True).alias(hit)).dropDuplicates([rid, doc])
+        own = F.col("doc_id").cast("long")
+        marked = docs.withColumns({rid: F.xxhash64(own, F.col("text").cast("string")), doc: F.coalesce(own, F.lit(NULL))})
+        out = marked.join(done, [rid, doc], "left").filter(F.col(hit).isNull() | F.col(cleaned).isNotNull())
         new = F.when(F.col(hit), F.col(cleaned)).otherwise(F.col("text"))
         changed = {"text": new} | ({"n_chars": F.when(F.col(hit), F.length(new)).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})
         return out.select(*[changed[c].cast(docs.schema[c].dataType).alias(c) if c in changed else F.col(c) for c in docs.columns])
