@@ -46,7 +46,7 @@ TEXT_FEATURES, META_FEATURES = 14, 3 * BUCKETS + 1
 
 @dataclass
 class Features:
-    """Rows of dense features, and of places in a sparse vector: each place of a row counts one over the root of their number."""
+    """Rows of dense features, and of places in a sparse vector: each place of a row counts one over the root of their number. Places are held in two bytes, and worked on in chunks, as the driver holds many."""
 
     dense: np.ndarray
     flat: np.ndarray
@@ -64,23 +64,32 @@ class Features:
     def __add__(self, other: Features) -> Features:
         return Features(np.concatenate([self.dense, other.dense]), np.concatenate([self.flat, other.flat]), np.concatenate([self.start, self.start[-1] + other.start[1:]]))
 
+    def _chunks(self) -> Iterator[tuple[int, int]]:
+        """Ranges of rows whose places are not too many at once."""
+        return _text.blocks(self.start, 1 << 19)
+
     def dot(self, w: np.ndarray) -> np.ndarray:
-        d, n = self.dense.shape[1], np.diff(self.start)
-        row = np.repeat(np.arange(len(n)), n)
-        return self.dense @ w[:d] + np.bincount(row, w[d:][self.flat], len(n)) / np.sqrt(np.maximum(n, 1))
+        d, out = self.dense.shape[1], np.zeros(len(self))
+        for a, b in self._chunks():
+            n = np.diff(self.start[a : b + 1])
+            out[a:b] = np.bincount(np.repeat(np.arange(b - a), n), w[d:][self.flat[self.start[a] : self.start[b]]], b - a) / np.sqrt(np.maximum(n, 1))
+        return self.dense @ w[:d] + out
 
     def back(self, g: np.ndarray, size: int) -> np.ndarray:
         """The gradient of the weights, from that of the rows."""
-        n = np.diff(self.start)
-        return np.concatenate([self.dense.T @ g, np.bincount(self.flat, np.repeat(g / np.sqrt(np.maximum(n, 1)), n), size - self.dense.shape[1])])
+        out = np.zeros(size - self.dense.shape[1])
+        for a, b in self._chunks() if len(out) else ():
+            n = np.diff(self.start[a : b + 1])
+            out += np.bincount(self.flat[self.start[a] : self.start[b]], np.repeat(g[a:b] / np.sqrt(np.maximum(n, 1)), n), len(out))
+        return np.concatenate([self.dense.T @ g, out])
 
 
 def none(width: int) -> Features:
-    return Features(np.zeros((0, width)), np.zeros(0, np.int64), np.zeros(1, np.int64))
+    return Features(np.zeros((0, width)), np.zeros(0, np.uint16), np.zeros(1, np.int64))
 
 
 def text_features(texts: pa.Array) -> Features:
-    out, flat, counts = np.zeros((len(texts), TEXT_FEATURES)), [np.zeros(0, np.int64)], np.zeros(len(texts), np.int64)
+    out, flat, counts = np.zeros((len(texts), TEXT_FEATURES)), [np.zeros(0, np.uint16)], np.zeros(len(texts), np.int64)
     for i, j in _text.blocks(_text.buffers(texts)[1]):
         d, off = _text.buffers(texts.slice(i, j - i))
         size = np.diff(off)
@@ -101,7 +110,7 @@ def text_features(texts: pa.Array) -> Features:
             u, v = np.searchsorted(first, [p, q])
             there[w.row[first[u:v]] - a, (two[u:v] >> np.uint64(52)).astype(np.int64)] = True
             counts[i + a : i + b] = there.sum(1)
-            flat.append(np.nonzero(there)[1])
+            flat.append(np.nonzero(there)[1].astype(np.uint16))
         length = np.bincount(w.row, w.end - w.start, j - i) / np.maximum(words, 1)
         out[rows, 8] = np.log1p(words[has]) / 5
         out[rows, 9] = length[has] / 10
@@ -154,7 +163,7 @@ def meta_features(source: pa.Array, lang: pa.Array) -> Features:
         codes.append(np.where(null, np.uint64(7), _text.mix(code)))
     out[np.arange(n), 2 * BUCKETS + (_text.mix(codes[0] * np.uint64(3) + codes[1]) % np.uint64(BUCKETS)).astype(np.int64)] = 1
     out[:, -1] = 1
-    return Features(out, np.zeros(0, np.int64), np.zeros(n + 1, np.int64))
+    return Features(out, np.zeros(0, np.uint16), np.zeros(n + 1, np.int64))
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
@@ -203,7 +212,7 @@ def _line(z: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Platt's line: slope and offset that make a score the log-odds of its label."""
     n1, n0 = y.sum(), (1 - y).sum()
     soft = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    return fit(Features(np.stack([z, np.ones(len(z))], 1), np.zeros(0, np.int64), np.zeros(len(z) + 1, np.int64)), soft, 0, l2=1e-3)
+    return fit(Features(np.stack([z, np.ones(len(z))], 1), np.zeros(0, np.uint16), np.zeros(len(z) + 1, np.int64)), soft, 0, l2=1e-3)
 
 
 #: Gives, for the views so far, the documents that each view labels: their features in both views, and the labels.
@@ -266,17 +275,16 @@ def _gathered(own: DataFrame, ids: DataFrame) -> tuple[np.ndarray, Features, Fea
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x, m = text_features(b["text"]), meta_features(b["source"], b["lang"])
-            rows = [(d.tobytes(), f.astype(np.uint16).tobytes(), e.tobytes()) for d, f, e in zip(x.dense, np.split(x.flat, x.start[1:-1]), m.dense.astype(np.uint8))]
+            rows = [(d.tobytes(), f.tobytes(), e.tobytes()) for d, f, e in zip(x.dense, np.split(x.flat, x.start[1:-1]), m.dense.astype(np.uint8))]
             yield pa.RecordBatch.from_arrays([b["doc_id"], *(pa.array([r[k] for r in rows], pa.binary()) for k in range(3))], names=["doc_id", "x", "g", "m"])
 
     rows = own.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "source", "lang")).alias("r")).select("doc_id", "r.*")
     got = rows.mapInArrow(gather, "doc_id long, x binary, g binary, m binary").toArrow().combine_chunks().sort_by("doc_id")
     if not got.num_rows:
         return np.zeros(0, np.int64), none(TEXT_FEATURES), none(META_FEATURES)
-    x, g, m = ([y for y in got[c].to_pylist()] for c in ("x", "g", "m"))
-    flat = np.frombuffer(b"".join(g), np.uint16).astype(np.int64)
-    text = Features(np.frombuffer(b"".join(x)).reshape(-1, TEXT_FEATURES), flat, np.concatenate([[0], np.cumsum([len(y) // 2 for y in g])]))
-    meta = Features(np.frombuffer(b"".join(m), np.uint8).reshape(-1, META_FEATURES).astype(float), np.zeros(0, np.int64), np.zeros(len(m) + 1, np.int64))
+    x, g, m = (_text.buffers(got[c]) for c in ("x", "g", "m"))
+    text = Features(x[0].view(np.float64).reshape(-1, TEXT_FEATURES), np.frombuffer(g[0].tobytes(), np.uint16), g[1] // 2)
+    meta = Features(m[0].reshape(-1, META_FEATURES).astype(np.float32), np.zeros(0, np.uint16), np.zeros(got.num_rows + 1, np.int64))
     return np.asarray(got["doc_id"].combine_chunks()), text, meta
 
 
