@@ -201,6 +201,14 @@ def test_decontamination_equals_brute_force(spark, bench, most):
     assert after == {i: (x[2], len(x[2])) for i, x in want.items() if x[2] is not None}
 
 
+@pytest.mark.parametrize("most", [decontam.BROADCAST_BYTES, 0])
+def test_items_without_an_id_count(spark, bench, most):
+    docs = table(spark, ["A, b c d e f g! " + " ".join(words(30, 1)), " ".join(words(30, 2))], [None, 1])
+    r = decontam.report(docs, bench, broadcast_bytes=most).collect()
+    assert [(x.doc_id, x.n_hits, x.n_covered, x.items, x.action) for x in r] == [(None, 1, 7, [], "span")]
+    assert {x.doc_id: x.text for x in decontam.clean(docs, bench, broadcast_bytes=most).collect()} == {None: " ".join(words(30, 1)), 1: " ".join(words(30, 2))}
+
+
 @pytest.mark.parametrize("most", [decontam.BROADCAST_BYTES, 0])
 def test_decontamination_awkward(spark, awkward, none, bench, most):
     out = decontam.clean(awkward, bench, broadcast_bytes=most)
@@ -421,6 +429,11 @@ def test_packing_awkward(spark, awkward, none):
     assert packing.pack(none).count() == 0
 
 
+def test_documents_without_an_id_are_spread_over_the_shards(spark):
+    rows = packing.pack(table(spark, [" ".join(words(20, k)) for k in range(200)], [None] * 200), capacity=64, shard_docs=40).collect()
+    assert len({r.shard for r in rows}) == 5 and sum(len(r.doc_ids) for r in rows) == 200 and {d for r in rows for d in r.doc_ids} == {None}
+
+
 # Language
 
 
@@ -509,3 +522,7 @@ def test_every_labelled_language_with_text_is_trained(spark):
     m = langid.train(docs)
     assert m.languages == ["de", "en", "fr"]
     assert m.judge(pa.array([speech(x, 50) for x in m.languages]))["predicted"].to_pylist() == m.languages
+    # Rows that repeat a label and doc_id count once; of more labels than the bound those with the most documents stay.
+    again = langid.train(docs.union(docs.filter("lang = 'en'")).union(docs.filter("lang = 'en'")))
+    assert all((a.own == b.own).all() and (a.table == b.table).all() for a, b in zip(m.automata, again.automata))
+    assert langid.train(docs, languages=2).languages == ["de", "en"]
