@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -10,8 +11,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -19,6 +21,23 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def trim() -> None:
+    """Give freed memory back: Python workers stay for later stages, and what they hold on to counts for the executor."""
+    pa.default_memory_pool().release_unused()
+    if trim_ := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc's
+        trim_(0)
+
+
+def mapped(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """mapInArrow, with ``trim`` at the end of each partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(batches)
+        trim()
+
+    return df.mapInArrow(run, schema)
+
+
 def rid(*cols: str) -> Column:
     """Identity of a row from its content: repeated rows share it, nulls are allowed."""
     return F.xxhash64(*[F.col(c) for c in cols])
@@ -109,7 +128,7 @@ def same_columns(docs: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch])
             if b.num_rows:
                 yield f(b)
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)
 
 
 def by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

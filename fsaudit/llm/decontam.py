@@ -146,7 +146,7 @@ def _joined_hits(docs: DataFrame, bench: DataFrame, n: int, min_words: int) -> D
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate([pa.int32(), pa.int64(), pa.binary(), pa.int64()])], names=["size", "gram", "words", "item"])
 
-    held = _frames.keep(_items(bench).mapInArrow(bench_grams, "size int, gram long, words binary, item long"))
+    held = _frames.keep(_items(bench).transform(_frames.mapped, bench_grams, "size int, gram long, words binary, item long"))
     sizes = sorted(r[0] for r in held.select("size").distinct().collect())  # n at most
 
     def doc_grams(batches):
@@ -163,7 +163,7 @@ def _joined_hits(docs: DataFrame, bench: DataFrame, n: int, min_words: int) -> D
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _frames.rid("doc_id", "text").alias("rid"))
     own = own.withColumn("doc", F.coalesce("doc_id", F.lit(NULL)))
-    hits = own.select("rid", "doc", "text").mapInArrow(doc_grams, "rid long, doc long, pos int, size int, gram long").join(held, ["size", "gram"])
+    hits = own.select("rid", "doc", "text").transform(_frames.mapped, doc_grams, "rid long, doc long, pos int, size int, gram long").join(held, ["size", "gram"])
     return own.join(hits.groupBy("rid", "doc").agg(F.collect_set(F.struct("pos", "size", "words", "item")).alias("hits")), ["rid", "doc"])
 
 
@@ -193,7 +193,7 @@ def report(docs: DataFrame, bench: DataFrame, n: int = N, min_words: int = MIN_W
                         rows.append(_line(d, t, hits, words, drop_share))
                 yield _table(rows)
 
-        return _joined_hits(docs, bench, n, min_words).select("doc_id", "text", "hits").mapInArrow(lines, REPORT)
+        return _joined_hits(docs, bench, n, min_words).select("doc_id", "text", "hits").transform(_frames.mapped, lines, REPORT)
     grams = spark.sparkContext.broadcast(_gram_set(bench, n, min_words))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +201,7 @@ def report(docs: DataFrame, bench: DataFrame, n: int = N, min_words: int = MIN_W
             rows = [_line(b["doc_id"][r].as_py(), b["text"][r].as_py(), hits, words, drop_share) for r, hits, words in _scan(b["text"], grams.value)]
             yield _table(rows)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(scan, REPORT)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).transform(_frames.mapped, scan, REPORT)
 
 
 def clean(docs: DataFrame, bench: DataFrame, n: int = N, min_words: int = MIN_WORDS, drop_share: float = DROP_SHARE, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -221,7 +221,7 @@ def clean(docs: DataFrame, bench: DataFrame, n: int = N, min_words: int = MIN_WO
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate([pa.int64(), pa.int64(), pa.string()])], names=["rid", "doc", "cleaned"])
 
         rid, doc, cleaned, hit = (_frames.fresh(docs, x) for x in ("__rid", "__doc", "__cleaned", "__hit"))
-        done = hits.mapInArrow(decide, "rid long, doc long, cleaned string").select(F.col("rid").alias(rid), F.col("doc").alias(doc), F.col("cleaned").alias(cleaned), F.lit(True).alias(hit)).dropDuplicates([rid, doc])
+        done = hits.transform(_frames.mapped, decide, "rid long, doc long, cleaned string").select(F.col("rid").alias(rid), F.col("doc").alias(doc), F.col("cleaned").alias(cleaned), F.lit(True).alias(hit)).dropDuplicates([rid, doc])
         own = F.col("doc_id").cast("long")
         marked = docs.withColumns({rid: F.xxhash64(own, F.col("text").cast("string")), doc: F.coalesce(own, F.lit(NULL))})
         out = marked.join(done, [rid, doc], "left").filter(F.col(hit).isNull() | F.col(cleaned).isNotNull())

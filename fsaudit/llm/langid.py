@@ -209,7 +209,7 @@ def report(docs: DataFrame, model: Model | None = None) -> DataFrame:
             x = held.value.judge(b["text"])
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["lang"], *x.values()], names=["doc_id", "lang", *x])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(run, REPORT)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).transform(_frames.mapped, run, REPORT)
 
 
 def clean(docs: DataFrame, model: Model | None = None) -> DataFrame:

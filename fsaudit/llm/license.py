@@ -132,7 +132,7 @@ def _digests(df: DataFrame, kept: str, kind: str) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b[kept], pa.array([hashlib.sha256(x).hexdigest() if x else None for x in canonical(b["text"])], pa.string())], names=[kept, "digest"])
 
-    return df.select(F.col(kept).cast(kind).alias(kept), F.col("text").cast("string").alias("text")).mapInArrow(run, f"{kept} {kind}, digest string")
+    return df.select(F.col(kept).cast(kind).alias(kept), F.col("text").cast("string").alias("text")).transform(_frames.mapped, run, f"{kept} {kind}, digest string")
 
 
 def known(spark: SparkSession) -> DataFrame:

@@ -305,7 +305,7 @@ def demux(media: DataFrame, column: str = "media") -> DataFrame:
                 rows = demux_batch(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 yield pa.RecordBatch.from_arrays([pa.array([ids[i + x[0]] for x in rows], pa.int64()), *(pa.array([x[k] for x in rows], t) for k, t in enumerate(_KINDS[1:], 1))], names=_NAMES)
 
-    return media.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("binary").alias("media")).mapInArrow(run, SCHEMA)
+    return media.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("binary").alias("media")).transform(_frames.mapped, run, SCHEMA)
 
 
 def mux_pages(pages: DataFrame) -> DataFrame:
@@ -317,7 +317,7 @@ def mux_pages(pages: DataFrame) -> DataFrame:
             media = [mux((h or "").encode(), (u or "").encode()) for u, h in zip(b["url"].to_pylist(), b["html"].to_pylist())]
             yield pa.RecordBatch.from_arrays([b["page_id"], pa.array(media, pa.binary())], names=["doc_id", "media"])
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(run, "doc_id long, media binary")
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).transform(_frames.mapped, run, "doc_id long, media binary")
 
 
 ORACLE = f"""WITH v AS (SELECT page_id, greatest(1, CAST(ceil(octet_length(encode(html)) / {UNIT}) AS BIGINT)) AS n, octet_length(encode(html)) AS b, md5(html) AS h FROM pages)

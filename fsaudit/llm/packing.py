@@ -42,7 +42,7 @@ def _words(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["order"], pa.array(np.concatenate([np.zeros(0, np.int64), *n]), pa.int64())], names=["doc_id", "order", "n"])
 
     _frames.bounded_batches(docs.sparkSession)
-    return docs.select(*_id(), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, order long, n long")
+    return docs.select(*_id(), F.col("text").cast("string").alias("text")).transform(_frames.mapped, run, "doc_id long, order long, n long")
 
 
 def _id() -> list[Column]:

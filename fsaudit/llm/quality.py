@@ -279,7 +279,7 @@ def _gathered(own: DataFrame, ids: DataFrame) -> tuple[np.ndarray, Features, Fea
             yield pa.RecordBatch.from_arrays([b["doc_id"], *(pa.array([r[k] for r in rows], pa.binary()) for k in range(3))], names=["doc_id", "x", "g", "m"])
 
     rows = own.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "source", "lang")).alias("r")).select("doc_id", "r.*")
-    got = rows.mapInArrow(gather, "doc_id long, x binary, g binary, m binary").toArrow().combine_chunks().sort_by("doc_id")
+    got = rows.transform(_frames.mapped, gather, "doc_id long, x binary, g binary, m binary").toArrow().combine_chunks().sort_by("doc_id")
     if not got.num_rows:
         return np.zeros(0, np.int64), none(TEXT_FEATURES), none(META_FEATURES)
     x, g, m = (_text.buffers(got[c]) for c in ("x", "g", "m"))
@@ -330,7 +330,7 @@ def _trained(docs: DataFrame, labels: DataFrame, labelled: int, rounds: int, per
             n = [len(x[0]) for x in best]
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(4, dtype=np.int32), n)), *(pa.array(np.concatenate(x)) for x in zip(*best))], names=["kind", "z", "place", "doc_id"])
 
-        top = own.withColumn("place", F.xxhash64("doc_id")).mapInArrow(scan, "kind int, z double, place long, doc_id long")
+        top = own.withColumn("place", F.xxhash64("doc_id")).transform(_frames.mapped, scan, "kind int, z double, place long, doc_id long")
         top = top.groupBy("kind", "place", "doc_id").agg(F.max("z").alias("z")).withColumn("k", F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("z"), "place", "doc_id")))
         top = _frames.cut(top.filter(F.col("k") <= F.element_at(F.array(*map(F.lit, quotas)), F.col("kind") % 2 + 1)).select("kind", "doc_id"))
         picked = top.collect()
@@ -357,4 +357,4 @@ def report(docs: DataFrame, labels: DataFrame, model: Views | None = None) -> Da
             a, m, q = held.value.scores(text_features(b["text"]), meta_features(b["source"], b["lang"]))
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(a), pa.array(m), pa.array(q), pa.array(q >= 0.5)], names=["doc_id", "text_score", "meta_score", "quality", "keep"])
 
-    return _own(docs).mapInArrow(run, REPORT)
+    return _own(docs).transform(_frames.mapped, run, REPORT)

@@ -365,7 +365,7 @@ SPANS = "rid long, doc_id long, s int, e int, ref long"
 
 def _first_windows(own: DataFrame, keys: np.ndarray, window: int, gram: int) -> DataFrame:
     """Spans of the repeated windows of anchors with these keys."""
-    rows = _frames.cut(own.select("doc_id", "rid", "text").mapInArrow(_hot_windows(keys, window, gram), "c1 long, c2 long, doc_id long, rid long, s int"))
+    rows = _frames.cut(own.select("doc_id", "rid", "text").transform(_frames.mapped, _hot_windows(keys, window, gram), "c1 long, c2 long, doc_id long, rid long, s int"))
     first = rows.groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "rid", "s")).alias("x"), F.count("*").alias("n")).filter("n > 1").select("c1", "c2", "x")
     again = rows.join(first, ["c1", "c2"]).filter(F.struct("doc_id", "rid", "s") != F.col("x"))
     return again.select("rid", "doc_id", "s", (F.col("s") + window).alias("e"), F.col("x.doc_id").alias("ref"))
@@ -380,22 +380,22 @@ def spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most: int | N
 
 def _spans(docs: DataFrame, window: int, gram: int, most: int) -> DataFrame:
     own = _own(docs)
-    marks = _frames.cut(own.select("doc_id", "rid", "text").mapInArrow(_anchors(window, gram), ANCHORS))
+    marks = _frames.cut(own.select("doc_id", "rid", "text").transform(_frames.mapped, _anchors(window, gram), ANCHORS))
     hot = _frames.cut(marks.groupBy("key").count().filter(F.col("count") > most).select("key"))
     keys = np.sort(np.asarray(hot.toArrow()["key"].combine_chunks()))
     usual = marks.join(_few(hot), "key", "left_anti") if len(keys) else marks
     found = usual.repartition("key").sortWithinPartitions("key", "doc_id", "rid", "a")
-    found = _frames.cut(found.mapInArrow(_fold, "kind int, rid long, doc_id long, s int, e int, ref long, head long, at int"))
+    found = _frames.cut(found.transform(_frames.mapped, _fold, "kind int, rid long, doc_id long, s int, e int, ref long, head long, at int"))
     folded, asked = found.filter("kind = 0").select("rid", "doc_id", "s", "e", "ref"), found.filter("kind = 1").select("rid", "doc_id", "s", "e", "ref")
     asks = _frames.cut(asked.groupBy("rid", "doc_id").agg(F.collect_list(F.struct("s", "e", "ref")).alias("asks")))
-    contexts = own.join(_few(asks), ["rid", "doc_id"]).select("rid", "doc_id", "text", "asks").mapInArrow(_contexts, "key long, rid long, doc_id long, s int, text binary")
+    contexts = own.join(_few(asks), ["rid", "doc_id"]).select("rid", "doc_id", "text", "asks").transform(_frames.mapped, _contexts, "key long, rid long, doc_id long, s int, text binary")
     copies = found.filter("kind = 2").selectExpr("ref AS key", "rid", "doc_id", "s", "CAST(NULL AS BINARY) AS text", "head", "at")
     contexts = contexts.selectExpr("*", "CAST(NULL AS LONG) AS head", "CAST(NULL AS INT) AS at").unionByName(copies)
-    sorted_ = contexts.repartition("key").sortWithinPartitions("key").mapInArrow(_sort(window), SPANS)
+    sorted_ = contexts.repartition("key").sortWithinPartitions("key").transform(_frames.mapped, _sort(window), SPANS)
     both = folded.unionByName(sorted_)
     if len(keys):
         both = both.unionByName(_first_windows(own, keys, window, gram))
-    return both.repartition("rid").sortWithinPartitions("rid", "doc_id", "s").mapInArrow(_merged, "rid long, doc_id long, starts array<int>, ends array<int>, refs array<long>")
+    return both.repartition("rid").sortWithinPartitions("rid", "doc_id", "s").transform(_frames.mapped, _merged, "rid long, doc_id long, starts array<int>, ends array<int>, refs array<long>")
 
 
 def _cut(data: np.ndarray, w: _text.Words, r: int, base: int, end: int, starts: list[int], ends: list[int]) -> str:
@@ -426,7 +426,7 @@ def clean(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
                 keep[r] = bool(texts[r].strip())
             yield replace_texts(b, texts, keep)
 
-    return joined.mapInArrow(run, docs.schema)
+    return joined.transform(_frames.mapped, run, docs.schema)
 
 
 def report(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -440,7 +440,7 @@ def report(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame
             gone = [sum(e) - sum(s) for s, e in zip(b["starts"].to_pylist(), b["ends"].to_pylist())]
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(np.concatenate([np.zeros(0, np.int64), *n]), pa.int64()), pa.array(gone, pa.int64()), b["refs"], b["starts"], b["ends"]], names=["doc_id", "n_words", "n_removed", "first_doc_ids", "starts", "ends"])
 
-    out = _own(docs).join(marks, ["rid", "doc_id"]).select("doc_id", "text", "refs", "starts", "ends").mapInArrow(run, REPORT)
+    out = _own(docs).join(marks, ["rid", "doc_id"]).select("doc_id", "text", "refs", "starts", "ends").transform(_frames.mapped, run, REPORT)
     none = F.lit(NULL)
     return out.withColumn("doc_id", F.nullif("doc_id", none)).withColumn("first_doc_ids", F.transform("first_doc_ids", lambda x: F.nullif(x, none)))
 

@@ -82,7 +82,7 @@ def build(entries: DataFrame, shard_rows: int = SHARD_ROWS) -> str:
             yield pa.RecordBatch.from_pydict({"shard": [int(s)], "n": [len(o)]}, pa.schema([("shard", pa.int32()), ("n", pa.int64())]))
 
     shard = (F.shiftrightunsigned("key", 64 - bits) if bits else F.lit(0)).cast("int")
-    own.withColumn("shard", shard).select("shard", "key", "entry").repartition(1 << bits, "shard").mapInArrow(write, "shard int, n long").agg(F.sum("n")).collect()
+    own.withColumn("shard", shard).select("shard", "key", "entry").repartition(1 << bits, "shard").transform(_frames.mapped, write, "shard int, n long").agg(F.sum("n")).collect()
     return f"{path}?{bits}"
 
 
@@ -134,7 +134,7 @@ def report(pages: DataFrame, where: str) -> DataFrame:
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"))
     url, host = parts(F.col("url"))
     own = own.withColumns({"canon": url, "host": host}).withColumn("probes", probes(F.col("canon"), F.col("host")))
-    return own.select("page_id", "url", "probes", F.transform("probes", lambda p: F.xxhash64(p)).alias("keys")).mapInArrow(run, REPORT)
+    return own.select("page_id", "url", "probes", F.transform("probes", lambda p: F.xxhash64(p)).alias("keys")).transform(_frames.mapped, run, REPORT)
 
 
 URL_MOD, HOST_MOD = 20, 97

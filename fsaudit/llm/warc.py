@@ -84,7 +84,7 @@ def write(pages: DataFrame, folder: str | None = None) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"file": [name]})
 
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return _frames.keep(own.mapInArrow(run, "file string"))
+    return _frames.keep(own.transform(_frames.mapped, run, "file string"))
 
 
 def _inflate(m: mmap.mmap, at: int) -> tuple[bytes | None, int]:
@@ -149,7 +149,7 @@ def index(files: DataFrame, folder: str | None = None) -> DataFrame:
     # As many tasks as there are files: a task's time goes with its file, not with the row that names it.
     folder = folder or _frames.own_folder(files.sparkSession, "warc-index")
     files = files.select("file").filter("file IS NOT NULL")
-    files.repartitionByRange(max(1, files.count()), "file").mapInArrow(run, INDEX).write.parquet(folder)
+    files.repartitionByRange(max(1, files.count()), "file").transform(_frames.mapped, run, INDEX).write.parquet(folder)
     return files.sparkSession.read.parquet(folder)
 
 
@@ -194,7 +194,7 @@ def read(selected: DataFrame, task: int = TASK) -> DataFrame:
     own = own.groupBy("file", F.expr(f"offset div {task}").alias("stretch")).agg(F.sort_array(F.collect_list(F.struct("offset", "length", "n"))).alias("at"))
     own = _frames.keep(own)
     # One task per stretch: its rows are few, but stand for up to TASK bytes to read.
-    return own.repartitionByRange(max(1, own.count()), "file", "stretch").mapInArrow(run, RECORDS)
+    return own.repartitionByRange(max(1, own.count()), "file", "stretch").transform(_frames.mapped, run, RECORDS)
 
 
 def first_of_digest(entries: DataFrame) -> DataFrame:
