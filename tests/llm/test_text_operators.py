@@ -328,6 +328,29 @@ def test_near_dedup_equals_brute_force(spark, monkeypatch, unit, block):
     assert all((r.n_shingles, r.kept_shingles) == (n[r.doc_id], n[r.kept_doc_id]) and (r.relation == "kept") == (r.doc_id == r.kept_doc_id) for r in rows)
 
 
+def test_near_dedup_leaves_no_pair_out(spark, monkeypatch):
+    """Mutual and contained pairs just at the threshold, of which bands miss some, and contained ones of any sizes; shingles in many buckets, a few held at a time."""
+    monkeypatch.setattr(neardup, "UNIT", 4_000)
+    monkeypatch.setattr(neardup, "HELD", 10_000, raising=False)
+    out = []
+    for g in range(120):
+        common = words(67, 200_000 + g, 10**5)
+        out += [" ".join(common + words(35, 210_000 + g, 10**5)), " ".join(words(35, 220_000 + g, 10**5) + common)]
+    for g in range(60):
+        common = words(28, 230_000 + g, 10**5)
+        out += [" ".join(common + words(14, 240_000 + g, 10**5)), " ".join(words((20, 100, 500)[g % 3], 250_000 + g, 10**5) + common)]
+    larger = words(3000, 260_000, 10**5)
+    out += [" ".join(larger), " ".join(larger[5:8]), " ".join(larger[100:120]), " ".join(larger[100:1000]), " ".join(larger[2000:2400] + words(100, 260_001, 10**5)), " ".join(larger[300:302])]
+    texts = dict(enumerate(out))
+    near, mutual = brute_near(texts, ratio=10**9)
+    assert (len(mutual), len(near)) == (120, 120 + 60 + 5)
+    rows = neardup.report(table(spark, out).union(table(spark, out[:20]))).collect()  # repeated rows count once
+    of = {r.doc_id: r for r in rows}
+    assert set(of) == {x for p in near for x in p} and len(rows) == len(of)
+    assert all(of[a].kept_doc_id == of[b].kept_doc_id for a, b in near)
+    assert sum(r.relation == "kept" for r in rows) == 120 + 60 + 1
+
+
 def test_near_dedup_recall_on_the_table(spark, sf):
     df = spark.read.parquet(f"{sf}/documents.parquet")
     near, _ = brute_near({r.doc_id: r.text for r in df.collect()})
