@@ -403,6 +403,17 @@ def test_queries_equal_their_sql(spark, sf):
         assert Counter(map(str, (tuple(r[c] for c in cols) for r in got.collect()))) == Counter(map(str, want.project(", ".join(cols)).fetchall())), name
 
 
+def test_pipeline_drops_what_much_larger_documents_contain(spark, sf):
+    import corpus_pipeline as p
+    from test_text_operators import words
+
+    long, other = words(2000, 300_000, 10**5), words(300, 300_001, 10**5)
+    texts = [long, long[50:150], long[700:1500], long[:60] + other[:20], other, long[:60] + other[:40]]
+    docs = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(texts)], "doc_id long, text string")
+    # Of the last, 58 of its 98 shingles are in the long one: less than 0.65.
+    assert sorted(r.doc_id for r in p.near_dedup(spark, docs, sf).collect()) == [0, 4, 5]
+
+
 def test_pipeline_against_its_stages_by_hand(spark, sf):
     import corpus_pipeline as p
     from test_text_operators import brute_clean, brute_kept, brute_removed
