@@ -370,6 +370,35 @@ def test_near_dedup_awkward(spark, awkward, none):
     assert neardup.report(none).count() == 0
 
 
+def test_postings_take_little_memory_and_are_whole():
+    import tracemalloc
+
+    n, size = 1000, 2500  # more than are held at a time
+    texts = [" ".join(map(str, range(k * size, (k + 1) * size))) for k in range(n)]
+    node = np.random.default_rng(3).permutation(n).astype(np.int64) << 33
+    rows = pa.record_batch([pa.array(node), pa.array(node // 2), pa.array(texts)], names=["node", "label", "text"])
+    assert n * (size - neardup.K + 1) > neardup.HELD
+    got, largest = [], 0
+    tracemalloc.start()
+    try:
+        for b in neardup._postings(7)(rows.slice(k, 100) for k in range(0, n, 100)):
+            largest = max(largest, b.nbytes)
+            got.append(pa.ipc.read_message(b.serialize()))  # outside of what is traced
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 48 * neardup.HELD and largest < 16 << 20
+    found = []
+    for b in (pa.ipc.read_record_batch(m, pa.schema([("key", pa.int32()), *((c, pa.binary()) for c in ("x", "node", "label"))])) for m in got):
+        for k, x, node_, label in zip(*(b[c] for c in ("key", "x", "node", "label"))):
+            x, node_ = np.frombuffer(x.as_buffer(), np.uint64), np.cumsum(neardup._unpacked(node_))
+            assert (x % np.uint64(7) == k.as_py()).all()
+            found.append(np.stack([node_, neardup._unpacked(label) + node_, x.view(np.int64)]))
+    want = [np.stack([np.full(len(x), v), np.full(len(x), v // 2), x.view(np.int64)]) for v, x in zip(node, neardup._sets(rows["text"]))]
+    found, want = (y[:, np.lexsort(y)] for y in (np.concatenate(z, 1) for z in (found, want)))
+    assert np.array_equal(found, want)
+
+
 @pytest.mark.parametrize("size", [3, 7, 1000])
 def test_buckets_are_told_apart_across_batches(size):
     r = random.Random(size)
