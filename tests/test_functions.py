@@ -31,6 +31,14 @@ def test_parse_size_column(spark):
     assert got == [1024, 3 << 29, None, 7, 2 << 20, None, None, 2**63 - 1]
 
 
+def test_parse_size_column_matches_once_a_row(spark):
+    texts = ["1e400", "-1e400T", "-9223372036854775809", "9223372036854775807", "5\t", "5K\n", "1_0", "", "K", "1e", "8e18", " -.5 tib", "1d", "nan", "--1"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(1).select(sizes.parse_size_col(F.col("t")))
+    assert [r[0] for r in df.collect()] == [2**63 - 1, -(2**63), -(2**63), 2**63 - 1, 5, 5120, None, None, None, None, 8 * 10**18, -(1 << 39), None, None, None]
+    code = getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package").codegenString(df._jdf.queryExecution().executedPlan())
+    assert code.count(".matcher(") <= 2  # the text of the code has each expression up to twice
+
+
 def test_display():
     assert [format_bytes(n) for n in (0, 1023, 1024, 1152, 1536, 1 << 20, 5 << 30, 3 << 40)] == ["0 B", "1023 B", "1.00 KiB", "1.12 KiB", "1.50 KiB", "1.00 MiB", "5.00 GiB", "3.00 TiB"]
     assert [format_count(n) for n in (0, 999, 1000, 1150, 1500, 999_999, 10**6, 2_500_000, 10**9)] == ["0", "999", "1.0K", "1.1K", "1.5K", "1000.0K", "1.0M", "2.5M", "1.0B"]
