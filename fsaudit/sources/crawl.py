@@ -20,7 +20,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from fsaudit.functions.paths import safe_text
 from fsaudit.functions.sizes import SizeMode, format_bytes, format_speed
 from fsaudit.schema import ROOT_PARTITION
-from fsaudit.sources.index import ROWS_PER_FILE, partition_names, read_index, replace_partitions
+from fsaudit.sources.index import ROWS_PER_FILE, is_packed, partition_names, read_index, replace_partitions
 
 NAME = "fsmeta"
 _SCHEMA = pa.schema([("path", pa.string()), ("disk", pa.int64()), ("length", pa.int64()), ("atime", pa.int64()), ("partition", pa.string())])
@@ -168,9 +168,9 @@ def index_tree(spark: SparkSession, top: str, out: str, mode: SizeMode = SizeMod
     loose = [ROOT_PARTITION] if root else []
     # Without a choice all partitions of the index were crawled, those whose directory is gone among them.
     crawled = [*(partition_names(spark, out) - {ROOT_PARTITION} if partitions is None else partitions), *loose]
-    pruned = replace_partitions(crawl(spark, top, mode, partitions, skip=out, **options), out, crawled, rows_per_file)
+    pruned = replace_partitions(crawl(spark, top, mode, partitions, skip=out, **options), out, crawled, rows_per_file, len(partitions) if partitions else sum(e.is_dir(follow_symlinks=False) for e in _entries(top)))
     # What was crawled and is there now, from the size column alone.
-    index = read_index(spark, out, layout="native")
+    index = read_index(spark, out, layout="packed" if is_packed(spark, out) else "native")
     fresh = index.filter(F.col("partition").isin(crawled)) if partitions is not None else index if root else index.filter(F.col("partition") != ROOT_PARTITION)
     total = fresh.agg(F.count("*").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
     figures = fresh.groupBy("partition").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))

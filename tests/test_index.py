@@ -107,6 +107,38 @@ def test_one_large_partition_is_shared_by_tasks(tmp_path):
     assert len({p for item in items for p, _, _ in item.units}) == sum(len(item.units) for item in items)
 
 
+def test_many_partitions_share_files(spark, tmp_path):
+    from fsaudit.sources.index import PACKED, partition_names, replace_partitions
+
+    n, out = 2 * PACKED + 1, str(tmp_path / "index")
+    rows = lambda *parts: spark.createDataFrame([(f"/t/p{k}/{f}", k + f + add, k, f"p{k}" if k else "é b/+") for k, fs, add in parts for f in fs], "path string, size long, atime long, partition string")
+    held = lambda df: sorted(map(tuple, df.collect()))
+    every = rows(*((k, (0, 1, 2), 0) for k in range(n)))
+    write_index(every, out, rows_per_file=2, full=True)
+    assert not [d for d in os.listdir(out) if d.startswith("partition=")] and sum(len(ds) for _, ds, _ in os.walk(out)) < 8
+    assert held(read_index(spark, out)) == held(every) and read_index(spark, out).columns == every.columns and len(partition_names(spark, out)) == n
+    assert [held(read_index(spark, out, p)) for p in ("p7", "é b/+", "none")] == [held(every.filter("partition = 'p7'")), held(every.filter("partition = 'é b/+'")), []]
+    # Two partitions are replaced, one is new and one is emptied; the others stay.
+    assert replace_partitions(rows((1, (5,), 9), (2, (0, 1, 2), 9), (n, (0,), 0)), out, ["p1", "p2", "p3"], rows_per_file=2) == {"p1": 1, "p3": 2}
+    want = held(every.filter("partition NOT IN ('p1', 'p2', 'p3')").union(rows((1, (5,), 9), (2, (0, 1, 2), 9), (n, (0,), 0))))
+    assert held(read_index(spark, out)) == want and not [d for d in os.listdir(out) if d.startswith("_") and d != "_SUCCESS"]
+    write_index(rows((4, (8,), 0)), out)
+    assert held(read_index(spark, out)) == sorted([x for x in want if x[3] != "p4"] + [("/t/p4/8", 12, 4, "p4")])
+    names = sorted(partition_names(spark, out))
+    replace_partitions(rows((4, (8,), 0)), out, names)
+    assert held(read_index(spark, out)) == [("/t/p4/8", 12, 4, "p4")] and len(os.listdir(next(e.path for e in os.scandir(out) if e.name.startswith("buckets=")))) == 1
+    write_index(rows((4, (8,), 0)), out, full=True)
+    assert os.path.isdir(out + "/partition=p4") and held(read_index(spark, out)) == [("/t/p4/8", 12, 4, "p4")]
+
+
+def test_index_of_many_directories(spark, tmp_path):
+    top, out = tree(tmp_path / "t", {f"d{k}/x": 1 for k in range(300)} | {"loose": 1}), str(tmp_path / "i")
+    assert index_tree(spark, top, out, APPARENT).files == 301 and not os.path.exists(out + "/partition=d1")
+    shutil.rmtree(top + "/d7")
+    stats = index_tree(spark, top, out, APPARENT)
+    assert (stats.files, stats.pruned) == (300, 1) and read_index(spark, out, "d7").count() == 0 and read_root(spark, out).count() == 1
+
+
 def test_index_inside_the_tree_is_left_out(spark, tmp_path):
     top = tree(tmp_path / "t", {"a/x": 1})
     for _ in range(2):
